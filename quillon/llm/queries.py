@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import simhash, token_counts
+from quillon.llm import rans, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op4_rans_tokens": rans.op4_rans_tokens,
         "op10_simhash": simhash.op10_simhash,
     }
 
