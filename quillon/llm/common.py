@@ -53,3 +53,13 @@ def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes the fast built-in; both branches agree on it."""
     plain = F.octet_length(text) == F.char_length(text)
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))
+
+
+def repeat_rows(df: DataFrame, times: Column, step: int = 10_000) -> DataFrame:
+    """Each row `times` times over (none for 0 or null), with its number from 0 in column "nth".
+
+    Two explodes, so that no array is longer than the larger of step and times / step.
+    """
+    many = df.where(times > 0).withColumn("nth_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / step))))
+    last = F.least(times - 1, (F.col("nth_block") + 1) * step - 1)
+    return many.withColumn("nth", F.explode(F.sequence(F.col("nth_block") * step, last))).drop("nth_block")

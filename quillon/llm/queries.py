@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import rans, simhash, token_counts
+from quillon.llm import mixing, rans, simhash, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op4_rans_tokens": rans.op4_rans_tokens,
+        "op9_pareto_mix": mixing.op9_pareto_mix,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_pareto_mix": mixing.MIX_SQL.format(docs="documents")}
