@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, rans, simhash, token_counts
+from quillon.llm import mixing, rans, simhash, token_counts, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_winnowing": winnowing.op2_winnowing,
         "op4_rans_tokens": rans.op4_rans_tokens,
         "op9_pareto_mix": mixing.op9_pareto_mix,
         "op10_simhash": simhash.op10_simhash,
@@ -19,4 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_pareto_mix": mixing.MIX_SQL.format(docs="documents")}
+    return {
+        "op2_winnowing": winnowing.WINNOWING_SQL,
+        "op9_pareto_mix": mixing.MIX_SQL.format(docs="documents"),
+    }
