@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, rans, simhash, token_counts, winnowing
+from quillon.llm import mixing, quality, rans, rotation, simhash, token_counts, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_winnowing": winnowing.op2_winnowing,
         "op4_rans_tokens": rans.op4_rans_tokens,
+        "op6_pu_quality": quality.op6_pu_quality,
+        "op7_perspective_rotation": rotation.op7_perspective_rotation,
         "op9_pareto_mix": mixing.op9_pareto_mix,
         "op10_simhash": simhash.op10_simhash,
     }
@@ -22,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_winnowing": winnowing.WINNOWING_SQL,
+        "op7_perspective_rotation": rotation.ROTATION_SQL,
         "op9_pareto_mix": mixing.MIX_SQL.format(docs="documents"),
     }
