@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, quality, rans, rotation, simhash, token_counts, winnowing
+from quillon.llm import media, mixing, quality, rans, rotation, simhash, token_counts, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_winnowing": winnowing.op2_winnowing,
+        "op3_progressive_jpeg": media.op3_progressive_jpeg,
         "op4_rans_tokens": rans.op4_rans_tokens,
         "op6_pu_quality": quality.op6_pu_quality,
         "op7_perspective_rotation": rotation.op7_perspective_rotation,
