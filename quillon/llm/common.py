@@ -63,3 +63,11 @@ def repeat_rows(df: DataFrame, times: Column, step: int = 10_000) -> DataFrame:
     many = df.where(times > 0).withColumn("nth_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / step))))
     last = F.least(times - 1, (F.col("nth_block") + 1) * step - 1)
     return many.withColumn("nth", F.explode(F.sequence(F.col("nth_block") * step, last))).drop("nth_block")
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of steps whose results are written: a long job's disk is then its largest step's."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()

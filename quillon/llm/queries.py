@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import media, mixing, quality, rans, rotation, simhash, token_counts, winnowing
+from quillon.llm import media, mixing, quality, rans, rotation, simhash, substrings, token_counts, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_rans_tokens": rans.op4_rans_tokens,
         "op6_pu_quality": quality.op6_pu_quality,
         "op7_perspective_rotation": rotation.op7_perspective_rotation,
+        "op8_suffix_array": substrings.op8_suffix_array,
         "op9_pareto_mix": mixing.op9_pareto_mix,
         "op10_simhash": simhash.op10_simhash,
     }
