@@ -1,8 +1,66 @@
-"""Documents to training tokens: quality, near-duplicates, decontamination, mixing, token output."""
+"""From documents to training tokens: quality, near-duplicates, decontamination, mixing, token output.
 
-STAGES: list = []
+STAGES are (name, function); each function takes (spark, docs, sf_dir) and what it returns is written
+as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+Rows that share a doc_id are taken for one document where a stage looks decisions up by id. A null
+doc_id is an id like any other.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm.common import materialize, table
+from quillon.llm.mixing import mix
+from quillon.llm.quality import THRESHOLD, scored, train
+from quillon.llm.rans import token_output
+from quillon.llm.simhash import simhash_components
+from quillon.llm.winnowing import contamination
+
+#: No SQL: stages hash with XXH64 and write files. tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores at the threshold or above stay."""
+    model = train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored(docs, model, to="pu_score").where(F.col("pu_score") >= THRESHOLD if model else F.lit(True)).drop("pu_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each component stays, once if its row is repeated."""
+    groups = simhash_components(docs.select("doc_id", "text"))
+    kept = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    hit = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("id").alias("hit_id")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it. Rows of one id share its copies, rounded by their texts' hashes."""
+    taken = mix(docs.select("doc_id", "text", "source")).groupBy(F.col("id").alias("mix_id")).agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).where("mix_copies > 0")
+    part = F.pmod(F.xxhash64("text"), F.lit(1000)) / 1000
+    times = F.when(F.col("mix_rows") == 1, F.col("mix_copies")).otherwise(F.floor(F.col("mix_copies") / F.col("mix_rows") + part)).cast("int")
+    many = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id"))).withColumn("mix_copies", times)
+    return many.withColumn("mix_copies", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(docs.columns)  # two at most for a row
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every copy, read back from the rANS shards."""
+    return token_output(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), ids=False).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("tokens", tokens)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
