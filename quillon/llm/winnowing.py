@@ -64,8 +64,9 @@ def item_fingerprints(items: DataFrame, length: int, gram: int, item_col: str, t
     parts = []
     for n in range(1, length + 1):
         own = hashed.where(F.size("h") == n) if n < length else hashed.where(F.size("h") >= n)
-        parts.append(_fingerprints(own, n, gram, "f").select("item", F.explode("f").alias("f")))
-    flat = reduce(DataFrame.union, parts)
+        # outer: from a plain explode Spark infers a filter on the array's size, and pushes it down with everything that makes the array
+        parts.append(_fingerprints(own, n, gram, "f").select("item", F.explode_outer("f").alias("f")))
+    flat = reduce(DataFrame.union, parts).where("f is not null")
     return flat.select("item", "f.length", F.col("f.at").alias("i_at"), "f.fp", F.col("f.low").alias("i_low"), F.col("f.near").alias("i_near"))
 
 
@@ -94,7 +95,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, gram:
         df = _fingerprints(df, n, gram, f"f{n}")
     kind = "struct<length:int,at:int,fp:bigint,low:int,near:array<bigint>>"
     found = F.concat(F.array(F.lit(None).cast(kind)), *(F.col(f"f{n}") for n in lengths))  # the null stands for the row itself
-    rows = df.select("id", "text_hash", F.size("h").alias("n_words"), F.explode(found).alias("f")).select("id", "text_hash", "n_words", "f.*")
+    rows = df.select("id", "text_hash", F.size("h").alias("n_words"), F.explode_outer(found).alias("f")).select("id", "text_hash", "n_words", "f.*")
     met = rows.join(F.broadcast(bench) if small else bench, ["length", "fp"], "left")
 
     longest = length - 1
