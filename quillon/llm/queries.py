@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import media, mixing, quality, rans, rotation, simhash, substrings, token_counts, winnowing
+from quillon.llm import lines, media, mixing, quality, rans, rotation, simhash, substrings, token_counts, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_winnowing": winnowing.op2_winnowing,
         "op3_progressive_jpeg": media.op3_progressive_jpeg,
         "op4_rans_tokens": rans.op4_rans_tokens,
+        "op5_deletion_neighbourhood": lines.op5_deletion_neighbourhood,
         "op6_pu_quality": quality.op6_pu_quality,
         "op7_perspective_rotation": rotation.op7_perspective_rotation,
         "op8_suffix_array": substrings.op8_suffix_array,
