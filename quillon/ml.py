@@ -12,10 +12,11 @@ from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.errors import QuillonError, SchemaError
+from quillon.operators.rows import numbered
 from quillon.types import require
 
 
@@ -82,16 +83,18 @@ def feature_importance(kind: str, model: PipelineModel, df: DataFrame, names: Se
     keyed = to_arrays(df, "features", "__a")
     out = {}
     for i, n in enumerate(names):
-        from quillon.operators.rows import numbered
-
         marked = numbered(keyed.withColumn("__r", F.monotonically_increasing_id()), "__r", "__n")
         mixed = numbered(keyed.select(F.get("__a", F.lit(i)).alias("__v")).withColumn("__x", F.xxhash64(F.lit(seed), F.monotonically_increasing_id())), ["__x", "__v"], "__m").select("__v", "__m")
         met = marked.join(mixed, F.col("__n") == F.col("__m"))
-        changed = met.withColumn("__a", F.transform("__a", lambda x, j, i=i: F.when(j == i, F.col("__v")).otherwise(x)))
+        changed = met.withColumn("__a", _replaced("__a", i, "__v"))
         out[n] = base - evaluator(kind).evaluate(model.transform(from_arrays(changed.drop("features"), "__a", "features")))
     return out
 
 
+def _replaced(array: str, index: int, by: str) -> Column:
+    return F.transform(array, lambda x, j: F.when(j == index, F.col(by)).otherwise(x))
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
