@@ -35,8 +35,8 @@ LENGTH, GRAM = 200, 64
 #: Kinds of runs in a bucket beyond which its suffixes are counted by hash.
 MANY = 2000
 #: Bytes of texts that are hashed at once, and of runs whose suffixes are sorted at once.
-PIECE, BLOCK = 1 << 21, 1 << 20
-_PLACE = 23  # bits of a position among those hashed at once
+PIECE, BLOCK = 1 << 17, 1 << 20
+_PLACE = 19  # bits of a position among those hashed at once
 _ODD = 0x9E3779B97F4A7C15
 
 
