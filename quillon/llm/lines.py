@@ -101,17 +101,18 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "do
 
     halves = every.select("lid", F.explode(half_keys(F.col("line"), F.char_length("line"))).alias("key"))
     shared = halves.groupBy("key").agg(F.min("lid").alias("l0"), F.max("lid").alias("l1")).where("l0 <> l1").select("key")
+    shared = materialize(shared, "shared-halves")  # written, so that the join's both sides are exchanges, and Spark can split a frequent key's
     near = materialize(halves.join(shared, "key", "left_semi").select("lid").distinct(), "near-lines")
     release_shuffles(spark)
     asked = firsts.join(near, "lid").select("lid", "first")
-    lines = every.select("lid", "line").join(asked, "lid").groupBy("lid", "first").agg(F.first("line").alias("line"))
-    lines = materialize(lines, "lines")
+    lines = materialize(every.groupBy("lid").agg(F.first("line").alias("line")).join(asked, "lid"), "lines")
     release_shuffles(spark)
 
     variants = materialize(_variants(lines), "variants")
     member = F.struct("first", "lid")
     lacking = variants.where("at >= 0")
     groups = lacking.groupBy("v", "at").agg(F.min(member).alias("least"), F.count("*").alias("n")).where("n > 1")
+    groups = materialize(groups, "groups")
     replaced = lacking.join(groups, ["v", "at"]).where("least.first < first").select("lid", F.col("least.lid").alias("by"))
     whole = variants.where("at < 0").select("v", F.col("lid").alias("w"), F.col("first").alias("w_first"))
     longer = lacking.join(whole, "v")
@@ -124,6 +125,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "do
     release_shuffles(spark)
 
     told = firsts.join(beaten.withColumn("beaten", F.lit(True)), "lid", "left").where("times > 1 or beaten").select("lid", "first", F.coalesce("beaten", F.lit(False)).alias("beaten"))
+    told = materialize(told, "told-lines")
     gone = every.select("row", "number", "lid").join(told, "lid").where(F.col("beaten") | (F.struct("row", "number") != F.col("first")))
     lists = materialize(gone.groupBy("row").agg(F.collect_set("number").alias("dropped")), "dropped-lines")  # at most a text's lines
     release_shuffles(spark)
