@@ -234,23 +234,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, many
 
     all_runs = materialize(run_table(keyed, length, gram), "runs")
     shared = all_runs.groupBy("key").agg(F.count("*").alias("all"), F.min("hash").alias("h0"), F.max("hash").alias("h1")).where(F.col("all") > 1).select("key", (F.col("h0") == F.col("h1")).alias("alike"))
+    shared = materialize(shared, "shared-keys")  # written, so that the join's both sides are exchanges, and Spark can split a frequent key's
     met = materialize(all_runs.join(shared, "key"), "shared-runs")
     drop_scratch(all_runs)
+    drop_scratch(shared)
     release_shuffles(spark)
 
     alike = met.where("alike").select("row", F.col("start").alias("low"), window_end.alias("high"))
     mixed = met.where("not alike")
     place = F.struct("row", "start", "n")
     kinds = materialize(mixed.groupBy("key", "hash").agg(F.count("*").alias("times"), F.min(place).alias("place")), "kinds")
-    large = kinds.groupBy("key").agg((F.count("*") > many).alias("large"))
-    wanted = kinds.join(large, "key").select("key", "times", "place.*", "large")
+    large = materialize(kinds.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > many).select("key", F.lit(True).alias("large")), "large-keys")
+    wanted = kinds.join(large, "key", "left").select("key", "times", "place.*", F.coalesce("large", F.lit(False)).alias("large"))
     twice = mixed.join(kinds.where("times > 1").select("key", "hash"), ["key", "hash"], "left_semi").select("row", F.col("start").alias("low"), window_end.alias("high"))
     got = materialize(fetched(keyed, wanted, length), "fetched")
     release_shuffles(spark)
 
     by_sorting = sorted_repeats(got.where("bytes is not null"), length)
     single = got.where("window is not null").select("row", "key", "window", "times", F.col("start").alias("low"), (F.col("start") + length).alias("high"))
-    again = single.groupBy("key", "window").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("key", "window")
+    again = materialize(single.groupBy("key", "window").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("key", "window"), "windows")
     by_counting = single.where("times = 1").join(again, ["key", "window"], "left_semi").select("row", "low", "high")
     stretches = alike.union(twice).union(by_sorting).union(by_counting).distinct()
     lists = materialize(stretches.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("stretches")), "stretches")  # at most a text's windows
