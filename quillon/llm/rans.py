@@ -261,10 +261,10 @@ def read_shards(shards: DataFrame, model: Model) -> DataFrame:
     return shards.select("run", "seq", "doc_ids", "lengths", "data").mapInArrow(run, schema)
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write docs as rANS shards in ascending id order, read them back: (id, start, n_tokens, ids) for every row.
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
+    """Write docs as rANS shards in ascending id order, read them back: (id, start, n_tokens, ids_crc32, ids) for every row.
 
-    start counts the ids of all rows before it. A null or empty text has the end id alone. Null ids come first;
+    With ids=False the ids are left out, and not carried to where the rows meet their starts. start counts the ids of all rows before it. A null or empty text has the end id alone. Null ids come first;
     rows with the same id stand in input order. An empty table gives no rows. Other columns of docs are not looked at.
     """
     e = encoder(tokenizer)
@@ -272,9 +272,10 @@ def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str =
     model = Model(symbol_counts(tokens, e.vocab, e.width))
     shards = write_shards(in_order(tokens), model, e.width)
     drop_scratch(tokens)
-    return read_shards(shards, model).join(shard_starts(shards), ["run", "seq"]).select("id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    back = read_shards(shards, model).withColumn("ids_crc32", F.crc32("ids"))
+    back = back if ids else back.drop("ids")
+    return back.join(shard_starts(shards), ["run", "seq"]).select("id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))
 
 
 def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False).withColumnRenamed("id", "doc_id")
