@@ -56,16 +56,16 @@ def half_keys(line: Column, n: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(v, at, lid, first) of lines (lid, first, line): at is the place of the missing character, -1 for the line itself."""
+    """(v, at, nth) of lines (nth, line): at is the place of the missing character, -1 for the line itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, places, rows, size = [], [], [], 0
 
             def batch(keys: list, places: list, rows: list, b: pa.RecordBatch = b) -> pa.RecordBatch:
                 row = pa.array(np.concatenate(rows))
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places)), b.column(0).take(row), b.column(1).take(row)], ["v", "at", "lid", "first"])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(places)), b.column(0).take(row)], ["v", "at", "nth"])
 
-            for i, line in enumerate(b.column(2).to_pylist()):
+            for i, line in enumerate(b.column(1).to_pylist()):
                 own, without = variant_hashes(line)
                 keys.append(np.concatenate([[own], without]))
                 places.append(np.arange(-1, len(without)))
@@ -77,8 +77,7 @@ def _variants(lines: DataFrame) -> DataFrame:
             if rows:
                 yield batch(keys, places, rows)
 
-    fields = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
-    return lines.select("lid", "first", "line").mapInArrow(run, f"v long, at long, lid {fields['lid']}, first {fields['first']}")
+    return lines.select("nth", "line").mapInArrow(run, "v long, at long, nth long")
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,22 +104,21 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "do
     near = materialize(halves.join(shared, "key", "left_semi").select("lid").distinct(), "near-lines")
     release_shuffles(spark)
     asked = firsts.join(near, "lid").select("lid", "first")
-    lines = materialize(every.groupBy("lid").agg(F.first("line").alias("line")).join(asked, "lid"), "lines")
+    lines = every.groupBy("lid").agg(F.first("line").alias("line")).join(asked, "lid").orderBy("first")
+    lines = materialize(lines.select("lid", "line", F.monotonically_increasing_id().alias("nth")), "lines")  # numbers that ascend with the places
     release_shuffles(spark)
 
     variants = materialize(_variants(lines), "variants")
-    member = F.struct("first", "lid")
     lacking = variants.where("at >= 0")
-    groups = lacking.groupBy("v", "at").agg(F.min(member).alias("least"), F.count("*").alias("n")).where("n > 1")
-    groups = materialize(groups, "groups")
-    replaced = lacking.join(groups, ["v", "at"]).where("least.first < first").select("lid", F.col("least.lid").alias("by"))
-    whole = variants.where("at < 0").select("v", F.col("lid").alias("w"), F.col("first").alias("w_first"))
+    groups = materialize(lacking.groupBy("v", "at").agg(F.min("nth").alias("least"), F.count("*").alias("n")).where("n > 1"), "groups")
+    replaced = lacking.join(groups, ["v", "at"]).where("least < nth").select("nth", F.col("least").alias("by"))
+    whole = variants.where("at < 0").select("v", F.col("nth").alias("whole"))
     longer = lacking.join(whole, "v")
-    put_in = longer.where("w_first < first").select("lid", F.col("w").alias("by"))
-    left_out = longer.where("first < w_first").groupBy("w").agg(F.min(member).alias("least")).select(F.col("w").alias("lid"), F.col("least.lid").alias("by"))
+    put_in = longer.where("whole < nth").select("nth", F.col("whole").alias("by"))
+    left_out = longer.where("nth < whole").groupBy("whole").agg(F.min("nth").alias("by")).select(F.col("whole").alias("nth"), "by")
     pairs = replaced.union(put_in).union(left_out).distinct()
-    text_of = lines.select("lid", "line")
-    verified = pairs.join(text_of, "lid").join(text_of.select(F.col("lid").alias("by"), F.col("line").alias("by_line")), "by").where(F.levenshtein("line", "by_line", 1) >= 0)
+    earlier = lines.select(F.col("nth").alias("by"), F.col("line").alias("by_line"))
+    verified = pairs.join(lines, "nth").join(earlier, "by").where(F.levenshtein("line", "by_line", 1) >= 0)
     beaten = materialize(verified.select("lid").distinct(), "beaten-lines")
     release_shuffles(spark)
 
