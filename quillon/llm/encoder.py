@@ -22,7 +22,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 #: Characters of whose classes every Unicode version says the same.
 _SAFE = re.compile("[\t\n\r!-~¡-ɏ]+").fullmatch
 #: Pieces and words that a worker remembers at most, and the longest of them.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 450_000, 48
 
 
 def byte_letters() -> dict[int, str]:
@@ -72,26 +72,34 @@ class Encoder:
                 and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
             )
             self.special = [t["content"] for t in said.get("added_tokens", [])]
-            self.model, self.letters = self.library.model, byte_letters()
+            if self.simple:
+                self.model, self.letters = self.library.model, byte_letters()
+                if hasattr(self.model, "_resize_cache"):
+                    self.model._resize_cache(0)  # its own memory of words costs more than it saves beside this one
         self.width = 2 if self.vocab <= 1 << 16 else 4
 
     def _pack(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if (got := self.words.get(word)) is None:
-            got = self._pack([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+        got = self.pieces.get(word[1:]) if word[0] == " " else None
+        if got is None and (got := self.words.get(word)) is None:
+            got = self._spelled(word)
             if len(self.words) < REMEMBERED and len(word) < LONGEST:
                 self.words[word] = got
         return got
 
+    def _spelled(self, word: str) -> bytes:
+        letters = "Ġ" + word[1:] if word[0] == " " and word[1:].isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return self._pack([t.id for t in self.model.tokenize(letters)])
+
     def _piece(self, piece: str, space: str = " ") -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Irregular
         if not _SAFE(piece):
             got = self.whole(space + piece)
         elif piece.isalpha():
-            got = self._word(space + piece)
+            got = self._spelled(space + piece)
         else:
             got = b"".join(map(self._word, PATTERN.findall(space + piece)))
         if space and len(self.pieces) < REMEMBERED and len(piece) < LONGEST:
@@ -103,10 +111,17 @@ class Encoder:
             return b""
         if not self.simple or any(s in text for s in self.special):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        get, piece = self.pieces.get, self._piece
+        pieces = text.split(" ")
+        got = list(map(self.pieces.get, pieces))
         try:
-            return piece(first, "") + b"".join([got if (got := get(p)) is not None else piece(p) for p in rest])
+            got[0] = self._piece(pieces[0], "")
+            at = 1
+            try:
+                while True:
+                    at = got.index(None, at)
+                    got[at] = self._piece(pieces[at])
+            except ValueError:  # none is left
+                return b"".join(got)
         except _Irregular:
             return self.whole(text)
 
