@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from quillon.llm.common import drop_scratch, materialize, table
 from quillon.llm.encoder import Encoder, encoder
 
-LANES, BLOCK, CHECK, SHARD = 32, 1 << 15, 1 << 13, 1 << 20
+LANES, BLOCK, CHECK, SHARD = 32, 1 << 15, 1 << 13, 1 << 22
 LOW, WORD = np.uint64(1 << 31), np.uint64(32)
 MAGIC, HEAD, BLOCK_HEAD = b"QRN1", "<4sIIIQI", "<IIII"
 
@@ -66,20 +66,23 @@ def encode_shard(ids: np.ndarray, model: Model) -> bytes:
     marks: list[list[tuple[int, bytes]]] = [[] for _ in range(n)]
     bits, room = np.uint64(model.bits), np.uint64(63 - model.bits)
     freq, start = model.freq, model.start
-    row, lane = np.arange(n)[:, None], np.arange(LANES)
+    flat, base, lane = words.reshape(-1), np.arange(n)[:, None] * BLOCK, np.arange(LANES)
+    shortest = int(length.min()) if n else 0
     for step in range(steps - 1, -1, -1):
-        live = step * LANES + lane < length[:, None]
+        full = (step + 1) * LANES <= shortest  # else some lanes of the last block are through
+        live = True if full else step * LANES + lane < length[:, None]
         s = grid[:, step]
         f = freq[s]
-        out = live & (state >= f << room)
-        n_out = out.sum(axis=1)
-        free -= n_out
-        to = free[:, None] + np.cumsum(out, axis=1) - 1
-        words[np.broadcast_to(row, out.shape)[out], to[out]] = state[out].astype(np.uint32)
+        out = (state >= f << room) & live
+        rank = np.cumsum(out, axis=1)
+        free -= rank[:, -1]
+        to = np.flatnonzero(out)
+        flat[((base + free[:, None] - 1) + rank).ravel()[to]] = state.ravel()[to].astype(np.uint32)
         x = np.where(out, state >> WORD, state)
-        f = np.where(live, f, np.uint64(1))
+        f = f if full else np.where(live, f, np.uint64(1))
         q = x // f
-        state = np.where(live, (q << bits) + (x - q * f) + start[s], state)
+        x = (q << bits) + (x - q * f) + start[s]
+        state = x if full else np.where(live, x, state)
         if step and step * LANES % CHECK == 0:
             for b in np.flatnonzero(step * LANES < length):
                 marks[b].append((int(free[b]), state[b].tobytes()))
