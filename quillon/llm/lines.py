@@ -80,31 +80,34 @@ def _variants(lines: DataFrame) -> DataFrame:
     return lines.select("nth", "line").mapInArrow(run, "v long, at long, nth long")
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, dropped, kept) for every row of docs: numbers of the dropped lines, and the text that stays.
 
-    Lines end at "\\n". One of min_chars characters or more is dropped if an equal line or a line within one edit (a
-    character replaced, put in or left out) stands earlier, in order of id, text hash and number, nulls first. It
-    counts what stood there before anything was dropped. Rows that share id and text are one place and keep the same
-    lines. A null text has no lines and stays null; an empty one has one line. An empty table gives no rows. Other
-    columns of docs are not looked at.
+    Lines end at "\\n". One that isn't empty is dropped if an equal line stands earlier, in order of id, text hash and
+    number, nulls first; one of MIN_CHARS characters or more also if a line within one edit of it (a character
+    replaced, put in or left out), of any length, does. It counts what stood there before anything was dropped. With
+    min_chars that is the floor for both, and shorter lines are not looked at. Rows that share id and text are one
+    place and keep the same lines. A null text has no lines and stays null; an empty one has one line. An empty table
+    gives no rows. Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
+    least, near_chars = (1, MIN_CHARS) if min_chars is None else (min_chars, min_chars)
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash")).alias("row"), F.col(text_col).alias("text"))
-    every = keyed.select("row", F.posexplode_outer(F.split("text", "\n")).alias("number", "line")).where(F.char_length("line") >= min_chars)
+    every = keyed.select("row", F.posexplode_outer(F.split("text", "\n")).alias("number", "line")).where(F.char_length("line") >= least)
     every = every.withColumn("lid", F.struct(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")))
     place = F.struct("row", "number")
     firsts = every.groupBy("lid").agg(F.min(place).alias("first"), F.count("*").alias("times"))
     firsts = materialize(firsts, "first-lines")
     release_shuffles(spark)
 
-    halves = every.select("lid", F.explode(half_keys(F.col("line"), F.char_length("line"))).alias("key"))
+    compared = every.where(F.char_length("line") >= near_chars - 1)  # a line one character short can still be the earlier twin
+    halves = compared.select("lid", F.explode(half_keys(F.col("line"), F.char_length("line"))).alias("key"))
     shared = halves.groupBy("key").agg(F.min("lid").alias("l0"), F.max("lid").alias("l1")).where("l0 <> l1").select("key")
     shared = materialize(shared, "shared-halves")  # written, so that the join's both sides are exchanges, and Spark can split a frequent key's
     near = materialize(halves.join(shared, "key", "left_semi").select("lid").distinct(), "near-lines")
     release_shuffles(spark)
     asked = firsts.join(near, "lid").select("lid", "first")
-    lines = every.groupBy("lid").agg(F.first("line").alias("line")).join(asked, "lid").orderBy("first")
+    lines = compared.groupBy("lid").agg(F.first("line").alias("line")).join(asked, "lid").orderBy("first")
     lines = materialize(lines.select("lid", "line", F.monotonically_increasing_id().alias("nth")), "lines")  # numbers that ascend with the places
     release_shuffles(spark)
 
@@ -118,7 +121,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "do
     left_out = longer.where("nth < whole").groupBy("whole").agg(F.min("nth").alias("by")).select(F.col("whole").alias("nth"), "by")
     pairs = replaced.union(put_in).union(left_out).distinct()
     earlier = lines.select(F.col("nth").alias("by"), F.col("line").alias("by_line"))
-    verified = pairs.join(lines, "nth").join(earlier, "by").where(F.levenshtein("line", "by_line", 1) >= 0)
+    verified = pairs.join(lines, "nth").join(earlier, "by").where(F.char_length("line") >= near_chars).where(F.levenshtein("line", "by_line", 1) >= 0)
     beaten = materialize(verified.select("lid").distinct(), "beaten-lines")
     release_shuffles(spark)
 

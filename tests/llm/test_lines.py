@@ -52,3 +52,12 @@ def test_null_ids_and_empty(spark):
     docs = spark.createDataFrame([(1, "a line that is long enough"), (None, "a line that is long enough.")], schema)
     assert sorted((str(r.id), list(r.dropped)) for r in dropped_lines(docs).collect()) == [("1", [0]), ("None", [])]
     assert dropped_lines(docs.limit(0)).count() == 0
+
+
+def test_short_lines(spark):
+    twin = "a line of 19 chars."
+    texts = ["Les.\n" + twin, "Les.\n\nLes,\n" + twin + "!", "Les.\n" + twin + "?\n\nb", "20 characters exact.\nb", "20 characters exact"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(twin) == len(texts[4]) == 19
+    got = {r.id: list(r.dropped) for r in dropped_lines(docs).collect()}
+    assert got == {0: [], 1: [0, 3], 2: [0, 1], 3: [1], 4: []}
