@@ -16,7 +16,7 @@ from quillon.llm.common import materialize, table
 from quillon.llm.mixing import mix
 from quillon.llm.quality import THRESHOLD, scored, train
 from quillon.llm.rans import token_output
-from quillon.llm.simhash import simhash_components
+from quillon.llm.shingles import jaccard_components
 from quillon.llm.winnowing import contamination
 
 #: No SQL: stages hash with XXH64 and write files. tests/llm/test_pipeline.py holds them against brute force.
@@ -30,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component stays, once if its row is repeated."""
-    groups = simhash_components(docs.select("doc_id", "text"))
+    """Of documents at a Jaccard similarity of 0.8 or more on five-word shingles, and what these link, the smallest doc_id stays, once if its row is repeated."""
+    groups = jaccard_components(docs.select("doc_id", "text"), shingle=5, similarity=0.8)
     kept = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
