@@ -600,7 +600,7 @@ def vocab_topn(t):  # noqa: ANN001, ANN201
 
 @query()
 def encode_tokens(t):  # noqa: ANN001, ANN201
-    return text.encode(t("documents"), text.vocabulary(t("documents"), "text", 1000), "text", "doc_id", 128)
+    return text.encode(t("documents"), text.vocabulary(t("documents"), "text", 1000), "text", "doc_id")
 
 
 # --- splits, streams and models -------------------------------------------------------------------

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
 
+from quillon.functions import text
 from quillon.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +40,21 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_encode_tokens_whole_texts(spark, duck):
+    def words(t):
+        return "".join(c if c.isalpha() or c.isdecimal() else " " for c in (t or "").lower()).split()
+
+    texts = dict(duck.sql("select doc_id, text from documents").fetchall())
+    count = Counter(w for t in texts.values() for w in words(t))
+    known = {w: i + 4 for i, w in enumerate(sorted(count, key=lambda w: (-count[w], w.encode()))[:996])}
+    got = {r.doc_id: r.ids for r in QUERIES["encode_tokens"](spark, SF).collect()}
+    assert got == {d: [2, *(known.get(w, 1) for w in words(t)), 3] for d, t in texts.items()}
+    assert max(map(len, got.values())) > 128
+
+
+def test_encode_cuts_and_pads(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b")], "k long, t string")
+    ids = {r.k: r.ids for r in text.encode(docs, text.vocabulary(docs, "t", 6), "t", "k", 4).collect()}
+    assert ids == {1: [2, 4, 5, 4], 2: [2, 5, 3, 0]}
