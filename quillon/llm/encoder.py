@@ -1,8 +1,10 @@
 """Public tokenizer files as encoders that live in a Python worker.
 
-A byte-level BPE splits its text with a fixed pattern and encodes every piece by itself, so the
-pieces between single spaces can be encoded once and remembered. That gives the library's ids at
-a fraction of its time; whatever the pattern could read differently goes to the library whole.
+A byte-level BPE splits its text with a fixed pattern and encodes every word by itself. So a batch's
+pieces between single spaces are told apart in Arrow, the words of those that are new to the worker
+are encoded by the library once, and the texts' ids are put together in numpy. That gives the
+library's ids at a fraction of its time; a text that the pattern could read differently goes to the
+library whole.
 """
 
 from __future__ import annotations
@@ -11,18 +13,26 @@ import hashlib
 import json
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from importlib.metadata import version
 from pathlib import Path
 
-import regex
-
-#: Fixed value: the split pattern of byte-level BPE tokenizers.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Characters of whose classes every Unicode version says the same.
-_SAFE = re.compile("[\t\n\r!-~¡-ɏ]+").fullmatch
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
+#: Fixed value: the split pattern of byte-level BPE tokenizers, for text without _UNSAFE characters.
+PATTERN = re.compile(rf" ?[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+#: Other characters than those of whose classes every Unicode version says the same.
+_UNSAFE = re.compile("[^\t\n\r -~¡-ɏ]").search
+#: A piece of such text that neither begins nor ends with white space.
+_PLAIN = re.compile("[!-~¡-ɏ](?:[\t\n\r!-~¡-ɏ]*[!-~¡-ɏ])?").fullmatch
 #: Pieces and words that a worker remembers at most, and the longest of them.
-REMEMBERED, LONGEST = 450_000, 48
+PIECES, WORDS, LONGEST = 450_000, 600_000, 48
+#: Bytes of texts, pieces of texts and new pieces that are worked on at once.
+STRETCH, PLACED, LEARNT = 4 << 20, 1 << 19, 1 << 13
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,12 +48,18 @@ def tokenizer_version(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes() + f"{library} {version(library)}".encode()).hexdigest()
 
 
-class _Irregular(Exception):
-    """A piece that can't be encoded apart from its neighbours."""
+def _stretches(texts: pa.Array) -> Iterator[pa.Array]:
+    """Neighbouring texts of STRETCH bytes together, or one longer text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(False).astype(np.int64))
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + STRETCH, "right")))
+        yield texts[low:high]
+        low = high
 
 
 class Encoder:
-    """ids(text): token ids as little-endian bytes, `width` bytes each, without added special tokens."""
+    """Token ids of texts, without added special tokens; null is empty."""
 
     def __init__(self, path: str) -> None:
         self.pieces: dict[str, bytes] = {}
@@ -56,7 +72,7 @@ class Encoder:
             self.vocab = self.library.get_piece_size()
             self.whole = lambda text: self._pack(self.library.encode(text))
         else:
-            from tokenizers import Tokenizer
+            from tokenizers import Tokenizer, pre_tokenizers
 
             self.library = Tokenizer.from_file(path)
             self.library.no_padding()
@@ -72,61 +88,111 @@ class Encoder:
                 and not any(model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
             )
             self.special = [t["content"] for t in said.get("added_tokens", [])]
+            self.simple = self.simple and all(c in model["vocab"] for c in byte_letters().values())
             if self.simple:
-                self.model, self.letters = self.library.model, byte_letters()
-                if hasattr(self.model, "_resize_cache"):
-                    self.model._resize_cache(0)  # its own memory of words costs more than it saves beside this one
+                self.letters = np.array([ord(c) for _, c in sorted(byte_letters().items())], "<u2")
+                between = chr(self.letters[0])  # the letter of byte 0, which no safe text has
+                self.speller = Tokenizer(self.library.model)  # the same model on words that are split already
+                self.speller.pre_tokenizer = pre_tokenizers.Split(between, "isolated")
+                self.between = self.library.token_to_id(between)
+                if hasattr(self.library.model, "_resize_cache"):
+                    self.library.model._resize_cache(0)  # its own memory of words costs more than it saves beside this one
         self.width = 2 if self.vocab <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
 
     def _pack(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        got = self.pieces.get(word[1:]) if word[0] == " " else None
-        if got is None and (got := self.words.get(word)) is None:
-            got = self._spelled(word)
-            if len(self.words) < REMEMBERED and len(word) < LONGEST:
-                self.words[word] = got
-        return got
-
-    def _spelled(self, word: str) -> bytes:
-        letters = "Ġ" + word[1:] if word[0] == " " and word[1:].isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return self._pack([t.id for t in self.model.tokenize(letters)])
-
-    def _piece(self, piece: str, space: str = " ") -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Irregular
-        if not _SAFE(piece):
-            got = self.whole(space + piece)
-        elif piece.isalpha():
-            got = self._spelled(space + piece)
+    def _spelled(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some safe words, each with the space before it."""
+        text = self.letters[np.frombuffer("\0".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        made = np.array(self.speller.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(made == self.between) * self.width
+        ids = made.tobytes()
+        return [ids[a:z] for a, z in zip([0, *(ends + self.width).tolist()], [*ends.tolist(), len(ids)], strict=True)]
+
+    def _in_words(self, text: str) -> tuple[list[str], list[bytes]]:
+        """The words of a safe text, and the ids of each."""
+        words = PATTERN.findall(text)
+        got = list(map(self.words.get, words))
+        new = list(dict.fromkeys(w for w, ids in zip(words, got, strict=True) if ids is None))
+        if new:
+            made = dict(zip(new, self._spelled(new), strict=True))
+            if len(self.words) < WORDS:
+                self.words.update((w, ids) for w, ids in made.items() if len(w) < LONGEST)
+            got = [made[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]
+        return words, got
+
+    def _learn(self, pieces: list[str], got: list[bytes | None]) -> np.ndarray:
+        """Fill in the ids of pieces, a space before each; true for those that can't be told apart from their neighbours."""
+        odd, plain = np.zeros(len(got), bool), []
+        for i in [i for i, ids in enumerate(got) if ids is None]:
+            p = pieces[i]
+            if _PLAIN(p):
+                plain.append(i)
+            elif not p or p[0].isspace() or p[-1].isspace():
+                odd[i], got[i] = True, b""
+            else:
+                got[i] = self.whole(" " + p)
+        for low in range(0, len(plain), LEARNT):
+            some = plain[low : low + LEARNT]
+            words, ids = self._in_words(" " + " ".join([pieces[i] for i in some]))
+            begin = [k for k, w in enumerate(words) if w[0] == " "]
+            for i, a, z in zip(some, begin, [*begin[1:], len(words)], strict=True):
+                got[i] = ids[a] if z == a + 1 else b"".join(ids[a:z])
+            if len(self.pieces) < PIECES:
+                self.pieces.update((pieces[i], got[i]) for i in some if len(pieces[i]) < LONGEST)
+        return odd
+
+    def _head(self, piece: str) -> bytes:
+        """Ids of a text's first piece, which has no space before it and some character in it."""
+        return self.whole(piece) if _UNSAFE(piece) else b"".join(self._in_words(piece)[1])
+
+    def _stretch(self, texts: pa.Array, lengths: list[np.ndarray], ids: list[np.ndarray] | None) -> None:
+        lists = pc.split_pattern(texts, " ")
+        head = lists.offsets.to_numpy()[:-1].astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        code, pieces = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(False).tolist()
+        got = list(map(self.pieces.get, pieces))
+        odd = self._learn(pieces, got)
+        apart = ~np.logical_or.reduceat(odd[code], head)
+        for s in self.special:
+            apart &= ~pc.match_substring(texts, s).to_numpy(False)
+        firsts = [self._head(pieces[c]) if a else self.whole(texts[i].as_py()) for i, (c, a) in enumerate(zip(code[head].tolist(), apart.tolist(), strict=True))]
+        code[~np.repeat(apart, np.diff(np.r_[head, len(code)]))] = len(got)  # in a text that went whole, all but the first piece are empty
+        code[head] = len(got) + 1 + np.arange(len(head))
+        table = [*got, b"", *firsts]
+        size = np.fromiter(map(len, table), np.int64, len(table)) // self.width
+        lengths.append(np.add.reduceat(size[code], head))
+        if ids is None:
+            return
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(table), self.kind)
+        for low in range(0, len(code), PLACED):
+            some = code[low : low + PLACED]
+            n = size[some]
+            ends = np.cumsum(n)
+            place = np.arange(ends[-1])
+            place += np.repeat(start[some] - (ends - n), n)
+            ids.append(flat[place])
+
+    def batch(self, texts: pa.Array, ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, and all ids in a row (none with ids=False)."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        lengths, made = [np.empty(0, np.int64)], [np.empty(0, self.kind)]
+        if self.simple:
+            for some in _stretches(texts):
+                self._stretch(some, lengths, made if ids else None)
         else:
-            got = b"".join(map(self._word, PATTERN.findall(space + piece)))
-        if space and len(self.pieces) < REMEMBERED and len(piece) < LONGEST:
-            self.pieces[piece] = got
-        return got
+            for t in texts.to_pylist():
+                made.append(np.frombuffer(self.whole(t), self.kind))
+            lengths = [np.array([len(m) for m in made[1:]], np.int64)]
+        return np.concatenate(lengths), np.concatenate(made)
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.simple or any(s in text for s in self.special):
-            return self.whole(text)
-        pieces = text.split(" ")
-        got = list(map(self.pieces.get, pieces))
-        try:
-            got[0] = self._piece(pieces[0], "")
-            at = 1
-            try:
-                while True:
-                    at = got.index(None, at)
-                    got[at] = self._piece(pieces[at])
-            except ValueError:  # none is left
-                return b"".join(got)
-        except _Irregular:
-            return self.whole(text)
+        return self.batch(pa.array([text], pa.string()))[1].tobytes()
 
     def count(self, text: str | None) -> int:
-        return len(self.ids(text)) // self.width
+        return int(self.batch(pa.array([text], pa.string()), ids=False)[0][0])
 
 
 @lru_cache(maxsize=2)

@@ -8,7 +8,7 @@ there; blocks and checkpoints are decoded side by side as the rows of numpy arra
 has the CRC-32 of its stored bytes and of its ids.
 
 Shards are rows of a Parquet table (binary `data`, and the list of documents), because a store
-that only Spark reaches takes no other writer.
+that only Spark reaches takes no other writer. The frequency table lies beside them.
 """
 
 from __future__ import annotations
@@ -25,32 +25,37 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import drop_scratch, materialize, table
-from quillon.llm.encoder import Encoder, encoder
+from quillon.llm.common import drop_scratch, materialize, scratch_path, table
+from quillon.llm.encoder import Encoder, encoder, tokenizer_version
 
 LANES, BLOCK, CHECK, SHARD = 32, 1 << 15, 1 << 13, 1 << 22
 LOW, WORD = np.uint64(1 << 31), np.uint64(32)
 MAGIC, HEAD, BLOCK_HEAD = b"QRN1", "<4sIIIQI", "<IIII"
+MODEL = "tokenizer string, end_id long, bits int, freq array<long>"
 
 
 class Model:
     """Frequencies that sum to 2 ** bits; every symbol that occurs has one of at least 1."""
 
-    def __init__(self, counts: np.ndarray) -> None:
-        counts = np.asarray(counts, np.int64)
-        used = counts > 0
-        self.bits = max(18, int(len(counts)).bit_length() + 2)
-        slots, total = 1 << self.bits, int(counts.sum())
-        freq = used.astype(np.int64)
-        if total:
-            spare = slots - int(used.sum())
-            freq += (counts.astype(np.float64) / total * spare).astype(np.int64)
-            freq[counts.argmax()] += slots - freq.sum()
+    def __init__(self, freq: np.ndarray, bits: int) -> None:
+        freq = np.asarray(freq, np.int64)
+        self.bits = bits
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
         self.digest = zlib.crc32(self.freq.tobytes())
 
+    @classmethod
+    def of_counts(cls, counts: np.ndarray) -> Model:
+        counts = np.asarray(counts, np.int64)
+        used = counts > 0
+        bits = max(18, int(len(counts)).bit_length() + 2)
+        total, freq = int(counts.sum()), used.astype(np.int64)
+        if total:
+            freq += (counts.astype(np.float64) / total * ((1 << bits) - int(used.sum()))).astype(np.int64)
+            freq[counts.argmax()] += (1 << bits) - freq.sum()
+        return cls(freq, bits)
+
 
 def encode_shard(ids: np.ndarray, model: Model) -> bytes:
     """A shard of uint32 ids, each of which has a frequency in model."""
@@ -150,18 +155,37 @@ def decode_shard(data: bytes, model: Model) -> np.ndarray:
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, part, row, ids) on shared storage, each partition in ascending order; ids end with end_id."""
+    """(id, part, row, ids, seen) on shared storage, each partition in ascending order; ids end with end_id.
+
+    seen is null but in one row of a task, which has how often the task's ids occur: pairs of 64-bit numbers.
+    """
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e: Encoder = encoder(tokenizer)
-        end = e._pack([end_id])
-        for b in batches:
-            ids = pa.array([e.ids(t) + end for t in b.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["id", "ids"])
+        total, held = np.zeros(e.vocab, np.int64), None
+
+        def made(ids: pa.Array, tokens: pa.Array, seen: bytes | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, tokens, pa.array([None] * (len(ids) - 1) + [seen], pa.binary())], ["id", "ids", "seen"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType())]))
-    return materialize(out.select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "ids").sortWithinPartitions("id", "row"), "tokens")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held:
+                yield made(*held, None)
+            lengths, ids = e.batch(b.column(1))
+            ends = np.cumsum(lengths)
+            ids = np.insert(ids, ends, end_id)
+            total += np.bincount(ids, minlength=e.vocab)
+            offsets = np.r_[0, ends + np.arange(1, len(ends) + 1)] * e.width
+            held = b.column(0), pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(ids)])
+        if held:
+            used = np.flatnonzero(total)
+            yield made(*held, np.stack([used, total[used]]).astype("<i8").tobytes())
+
+    schema = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType()), T.StructField("seen", T.BinaryType())])
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return materialize(out.select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "ids", "seen").sortWithinPartitions("id", "row"), "tokens")
 
 
 def in_order(tokens: DataFrame) -> DataFrame:
@@ -176,24 +200,26 @@ def in_order(tokens: DataFrame) -> DataFrame:
     return tokens.repartitionByRange("id", "row").sortWithinPartitions("id", "row")
 
 
-def symbol_counts(tokens: DataFrame, vocab: int, width: int) -> np.ndarray:
+def symbol_counts(tokens: DataFrame, vocab: int) -> np.ndarray:
     """How often each id occurs; what reaches the driver is bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocab, np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), f"<u{width}"), minlength=vocab)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["symbol", "n"])
+            for seen in b.column(0).to_pylist():
+                symbol, n = np.frombuffer(seen, "<i8").reshape(2, -1)
+                total[symbol] += n
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["symbol", "n"])
 
     counts = np.zeros(vocab, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in tokens.where("seen is not null").select("seen").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.symbol] = r.n
     return counts
 
 
-def write_shards(tokens: DataFrame, model: Model, width: int) -> DataFrame:
-    """The shards of tokens in order: (run, seq, low, n_tokens, doc_ids, lengths, data). A run is a task's ascending stretch."""
+def write_shards(tokens: DataFrame, model: Model, width: int, path: str) -> None:
+    """Write the shards of tokens in order: (run, seq, row, n_tokens, doc_ids, lengths, data). A run is a task's ascending stretch."""
     kind = tokens.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +257,7 @@ def write_shards(tokens: DataFrame, model: Model, width: int) -> DataFrame:
             yield shard(of)
 
     schema = T.StructType([T.StructField("run", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
-    return materialize(tokens.select("id", "row", "ids").mapInArrow(run, schema), "shards", "uncompressed")
+    tokens.select("id", "row", "ids").mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(path)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -264,21 +290,41 @@ def read_shards(shards: DataFrame, model: Model) -> DataFrame:
     return shards.select("run", "seq", "doc_ids", "lengths", "data").mapInArrow(run, schema)
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
-    """Write docs as rANS shards in ascending id order, read them back: (id, start, n_tokens, ids_crc32, ids) for every row.
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write docs in ascending id order to a new folder: path/shards, and path/model with all that reading takes.
 
-    With ids=False the ids are left out, and not carried to where the rows meet their starts. start counts the ids of all rows before it. A null or empty text has the end id alone. Null ids come first;
-    rows with the same id stand in input order. An empty table gives no rows. Other columns of docs are not looked at.
+    path/model is a Parquet table of one row: the tokenizer's version, the frequencies, and the id that ends a document.
+    A null or empty text has the end id alone. Null ids come first; rows with the same id stand in input order. An empty
+    table gives a model and no shards. Other columns of docs are not looked at.
     """
     e = encoder(tokenizer)
     tokens = token_table(docs, tokenizer, end_id, id_col, text_col)
-    model = Model(symbol_counts(tokens, e.vocab, e.width))
-    shards = write_shards(in_order(tokens), model, e.width)
+    model = Model.of_counts(symbol_counts(tokens, e.vocab))
+    row = (tokenizer_version(tokenizer), end_id, model.bits, model.freq.astype(np.int64).tolist())
+    docs.sparkSession.createDataFrame([row], MODEL).coalesce(1).write.parquet(f"{path}/model")
+    write_shards(in_order(tokens), model, e.width, f"{path}/shards")
     drop_scratch(tokens)
+
+
+def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """(id, start, n_tokens, ids_crc32, ids) for every document of a folder that write_tokens wrote, from its files alone.
+
+    start counts the ids of all documents before it. With ids=False the ids are left out, and not carried to where the
+    rows meet their starts.
+    """
+    said = spark.read.schema(MODEL).parquet(f"{path}/model").first()
+    model, shards = Model(np.array(said.freq), said.bits), spark.read.parquet(f"{path}/shards")
     back = read_shards(shards, model).withColumn("ids_crc32", F.crc32("ids"))
     back = back if ids else back.drop("ids")
     return back.join(shard_starts(shards), ["run", "seq"]).select("id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if ids else []))
 
 
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, path: str | None = None) -> DataFrame:
+    """write_tokens to path, or to a scratch folder, and read_tokens of it."""
+    path = path or scratch_path(docs.sparkSession, "token-files")
+    write_tokens(docs, path, tokenizer, end_id, id_col, text_col)
+    return read_tokens(docs.sparkSession, path, ids)
+
+
 def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False).withColumnRenamed("id", "doc_id")

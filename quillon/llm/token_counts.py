@@ -51,10 +51,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     misses = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(cached_counts(spark, cache, tokenizer), "digest", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(tokenizer).count
         for b in batches:
-            n = pa.array([count(t) for t in b.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n], ["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encoder(tokenizer).batch(b.column(1), ids=False)[0])], ["digest", "n_tokens"])
 
     misses.select("digest", "text").mapInArrow(run, CACHE).write.mode("append").parquet(f"{cache}/version={tokenizer_version(tokenizer)}")
     counts = materialize(cached_counts(spark, cache, tokenizer), "counts")  # written, so that Spark can split a frequent text's rows in the join
