@@ -11,16 +11,23 @@ from pyspark.sql import functions as F
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which every executor can reach.
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which every executor can reach.
 
-    Where the setting is absent (a bare local session), a temporary folder is set once.
+    A local session without the setting gets a temporary folder once; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared root."""
+    return f"{shared_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +10,7 @@ from tokenizers import Tokenizer
 
 from quillon.llm.common import scratch_path
 from quillon.llm.encoder import Encoder, encoder
-from quillon.llm.token_counts import cached_counts, count_tokens
+from quillon.llm.token_counts import cached_counts, count_tokens, op1_token_counts
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "a", " a", "a ", "a  b", "a\n b", "a \nb", "it's we'LL", "x<|endoftext|>y", "über straße Ćć", "日本語 text 日本", "a　 b", "a  b", "12 3四", "a\x1f b", "tab\t\tb", "é é", "😀 😀!", "a b" * 5000, "don 't", "—dash — it", "²³ ½x", "q" * 3000]
@@ -34,6 +36,10 @@ def test_other_tokenizers():
     assert piece.count("Hello world") == len(piece.library.encode("Hello world"))
 
 
+def stored(spark, cache):
+    return spark.read.option("recursiveFileLookup", True).parquet(cache).count()
+
+
 def test_counts_and_cache(spark):
     library, cache = Tokenizer.from_file(BPE), scratch_path(spark, "test-cache")
     rows = [(i, t) for i, t in enumerate([*ODD, None, "a", "a"])] + [(None, "b b"), (3, "again")]
@@ -43,11 +49,34 @@ def test_counts_and_cache(spark):
         assert sorted((str(r.id), r.n_bytes, r.n_tokens) for r in count_tokens(docs, BPE, cache).collect()) == expected
     distinct = len({t or "" for _, t in rows})
     assert cached_counts(spark, cache, BPE).count() == distinct
-    assert spark.read.parquet(cache).count() == distinct  # the second call encoded nothing
+    assert stored(spark, cache) == distinct  # the second call encoded nothing
     more = docs.limit(1).withColumn("text", F.lit("a new text"))
     count_tokens(more, BPE, cache).collect()
-    assert spark.read.parquet(cache).count() == distinct + 1
+    assert stored(spark, cache) == distinct + 1
 
 
 def test_empty(spark):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string"), BPE, scratch_path(spark, "test-cache")).count() == 0
+
+
+def test_query_twice(spark, tmp_path):
+    library = Tokenizer.from_file(BPE)
+    rows = [(i, t) for i, t in enumerate([*ODD, None, "query twice " * 600, "query twice " * 600])]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_bytes", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    cache = spark.conf.get("spark.checkpoint.dir") + "/token-counts"
+    sizes = []
+    for _ in range(2):
+        got = sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in op1_token_counts(spark, str(tmp_path)).collect())
+        n = [len(library.encode(t or "", add_special_tokens=False).ids) for _, t in rows]
+        assert got == [(d, len((t or "").encode()), k, k > 1024) for (d, t), k in zip(rows, n, strict=True)]
+        sizes.append(stored(spark, cache))
+    assert sizes[0] == sizes[1] >= len({t or "" for _, t in rows})  # the second run encoded nothing
+
+
+def test_jobs_that_append_at_once(spark):
+    cache = scratch_path(spark, "test-cache")
+    docs = spark.createDataFrame([(i, f"shared text {i % 50}") for i in range(200)], "doc_id long, text string")
+    with ThreadPoolExecutor(3) as pool:
+        got = list(pool.map(lambda _: sorted(count_tokens(docs, BPE, cache).collect()), range(3)))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 200
+    assert cached_counts(spark, cache, BPE).count() == 50
