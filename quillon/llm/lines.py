@@ -5,8 +5,8 @@ character. Variants are hashed keys; equal ones are joined, the edit distance is
 texts, and of lines that meet the earliest stays.
 
 A line of n characters has n variants, so most are never made: two lines within an edit agree on
-the first or the second half of the shorter one. Halves are hashed and counted first (four keys a
-line, combined before the exchange), and only lines that share a half with another emit variants.
+the first or the second half of the shorter one. Each distinct line keeps four hashed halves; these are
+counted first, combined before the exchange, and only lines that share one with another emit variants.
 
 Lines that lack the same character of one variant differ in that character alone, so all of them
 are within an edit of each other: each is compared with the earliest of them, never all pairs.
@@ -44,7 +44,7 @@ def variant_hashes(line: str) -> tuple[int, np.ndarray]:
     return int(mixed(sums[-1:])[0].view(np.int64)), mixed(without).view(np.int64)
 
 
-def half_keys(line: Column, n: Column) -> Column:
+def half_keys(line: Column, n: Column) -> list[Column]:
     """Keys of the halves of a line as one of its own length, and as one with a character too many."""
     keys = []
     for less in (0, 1):
@@ -52,7 +52,7 @@ def half_keys(line: Column, n: Column) -> Column:
         half = F.floor(short / 2).cast("int")
         keys.append(F.xxhash64(F.lit("first"), short, F.substring(line, F.lit(1), half)))
         keys.append(F.xxhash64(F.lit("last"), short, F.substring(line, n - (short - half) + 1, short - half)))
-    return F.array(*keys)
+    return keys
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -90,24 +90,25 @@ def dropped_lines(docs: DataFrame, min_chars: int | None = None, id_col: str = "
     place and keep the same lines. A null text has no lines and stays null; an empty one has one line. An empty table
     gives no rows. Other columns of docs are not looked at.
     """
-    spark = docs.sparkSession
+    spark = docs.sparkSession  # the small sides grow with the input: the joins with them are merge joins at any size
     least, near_chars = (1, MIN_CHARS) if min_chars is None else (min_chars, min_chars)
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash")).alias("row"), F.col(text_col).alias("text"))
-    every = keyed.select("row", F.posexplode_outer(F.split("text", "\n")).alias("number", "line")).where(F.char_length("line") >= least)
+    every = keyed.select("row", F.posexplode_outer(F.split("text", "\n")).alias("number", "line")).withColumn("n", F.char_length("line")).where(F.col("n") >= least)
     every = every.withColumn("lid", F.struct(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")))
     place = F.struct("row", "number")
-    firsts = every.groupBy("lid").agg(F.min(place).alias("first"), F.count("*").alias("times"))
+    compared = F.col("n") >= near_chars - 1  # a line one character short can still be the earlier twin
+    keys = [f"k{i}" for i in range(4)]
+    marked = every.select("lid", place.alias("place"), *(F.when(compared, h).alias(k) for k, h in zip(keys, half_keys(F.col("line"), F.col("n")), strict=True)))
+    firsts = marked.groupBy("lid").agg(F.min("place").alias("first"), F.count("*").alias("times"), *(F.first(k).alias(k) for k in keys))
     firsts = materialize(firsts, "first-lines")
     release_shuffles(spark)
 
-    compared = every.where(F.char_length("line") >= near_chars - 1)  # a line one character short can still be the earlier twin
-    halves = compared.select("lid", F.explode(half_keys(F.col("line"), F.char_length("line"))).alias("key"))
-    shared = halves.groupBy("key").agg(F.min("lid").alias("l0"), F.max("lid").alias("l1")).where("l0 <> l1").select("key")
+    halves = firsts.where("k0 is not null").select("lid", "first", F.explode(F.array(*keys)).alias("key"))
+    shared = halves.groupBy("key").agg(F.min("lid.h1").alias("l0"), F.max("lid.h1").alias("l1")).where("l0 <> l1").select("key")
     shared = materialize(shared, "shared-halves")  # written, so that the join's both sides are exchanges, and Spark can split a frequent key's
-    near = materialize(halves.join(shared, "key", "left_semi").select("lid").distinct(), "near-lines")
+    near = materialize(halves.join(shared, "key", "left_semi").select("lid", "first").distinct(), "near-lines")
     release_shuffles(spark)
-    asked = firsts.join(near, "lid").select("lid", "first")
-    lines = compared.groupBy("lid").agg(F.first("line").alias("line")).join(asked, "lid").orderBy("first")
+    lines = every.select("lid", "line").join(near.hint("merge"), "lid").dropDuplicates(["lid"]).orderBy("first")
     lines = materialize(lines.select("lid", "line", F.monotonically_increasing_id().alias("nth")), "lines")  # numbers that ascend with the places
     release_shuffles(spark)
 
@@ -127,14 +128,17 @@ def dropped_lines(docs: DataFrame, min_chars: int | None = None, id_col: str = "
 
     told = firsts.join(beaten.withColumn("beaten", F.lit(True)), "lid", "left").where("times > 1 or beaten").select("lid", "first", F.coalesce("beaten", F.lit(False)).alias("beaten"))
     told = materialize(told, "told-lines")
-    gone = every.select("row", "number", "lid").join(told, "lid").where(F.col("beaten") | (F.struct("row", "number") != F.col("first")))
-    lists = materialize(gone.groupBy("row").agg(F.collect_set("number").alias("dropped")), "dropped-lines")  # at most a text's lines
+    gone = every.select("row", "number", "lid").join(told.hint("merge"), "lid").where(F.col("beaten") | (F.struct("row", "number") != F.col("first")))
+    lists = gone.groupBy("row").agg(F.array_sort(F.collect_set("number")).alias("dropped"))  # at most a text's lines
+    # whether each line up to the last dropped one is dropped: looking that up takes the same time for any text
+    until = F.transform("dropped", lambda at, i: F.concat(F.array_repeat(F.lit(False), at - F.coalesce(F.get("dropped", i - 1), F.lit(-1)) - 1), F.array(F.lit(True))))
+    lists = materialize(lists.withColumn("gone", F.flatten(until)), "dropped-lines")
     release_shuffles(spark)
     none = F.expr("cast(array() as array<int>)")
-    parts, dropped = F.split("text", "\n"), F.coalesce(F.array_sort("dropped"), none)
-    stay = F.filter(parts, lambda _, i: ~F.array_contains(F.col("dropped"), i))
+    parts = F.split("text", "\n")
+    stay = F.filter(parts, lambda _, i: ~F.coalesce(F.get("gone", i), F.lit(False)))
     kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    return keyed.join(lists, "row", "left").select("row.id", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), dropped.alias("dropped"), kept.alias("kept"))
+    return keyed.join(lists.hint("merge"), "row", "left").select("row.id", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce("dropped", none).alias("dropped"), kept.alias("kept"))
 
 
 def op5_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:

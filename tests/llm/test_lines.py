@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import hashlib
 import random
+import time
 
-from quillon.llm.lines import dropped_lines, variant_hashes
+from pyspark.sql import functions as F
+
+from quillon.llm.lines import dropped_lines, op5_deletion_neighbourhood, variant_hashes
 
 
 def within_one(a, b):
@@ -61,3 +65,22 @@ def test_short_lines(spark):
     assert len(twin) == len(texts[4]) == 19
     got = {r.id: list(r.dropped) for r in dropped_lines(docs).collect()}
     assert got == {0: [], 1: [0, 3], 2: [0, 1], 3: [1], 4: []}
+
+
+def test_one_text_of_equal_lines(spark):
+    text = "\n".join(["the very same line once more"] * 100_000 + ["an end"])
+    docs = spark.createDataFrame([(1, text), (2, "an end")], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.id: (r.n_lines, len(r.dropped), r.kept) for r in dropped_lines(docs).collect()}
+    assert got == {1: (100_001, 99_999, "the very same line once more\nan end"), 2: (1, 1, "")}
+    assert time.monotonic() - began < 60
+
+
+def test_query(spark, tmp_path):
+    texts = ["first line of twenty characters\n\nb", "first line of twenty character\nb\nc", None, "", "c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("kept", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, op5_deletion_neighbourhood(spark, str(tmp_path)).collect()))
+    kept = [texts[0], "c", None, "", ""]
+    dropped = [0, 2, 0, 0, 1]
+    sizes = [3, 3, 0, 1, 1]
+    assert got == [(i, sizes[i], dropped[i], None if k is None else len(k), None if k is None else hashlib.sha256(k.encode()).hexdigest()) for i, k in enumerate(kept)]
