@@ -40,13 +40,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     def large_star(df: DataFrame) -> DataFrame:
         both = df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
     def small_star(df: DataFrame) -> DataFrame:
-        low = df.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(df.groupBy("a").agg(F.min("b").alias("m")))
         return df.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.m").alias("b"))
 
+    spent: list[DataFrame] = []
+
+    def written(low: DataFrame) -> DataFrame:
+        """A star's centre has one row here and as many as its leaves on the join's other side, which Spark can split once this is a table."""
+        spent.append(materialize(low, "least-neighbours"))
+        return spent[-1]
+
     now = materialize(oriented(edges), "edges")
     for _ in range(max_rounds):
         # a forest of stars has no node that is both a leaf and a centre, and one centre a leaf
@@ -54,8 +61,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state.where("n > 1").isEmpty() and now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
             break
         after = materialize(oriented(small_star(oriented(large_star(now)))), "edges")
-        drop_scratch(now)
+        for old in (now, *spent):
+            drop_scratch(old)
+        spent.clear()
         now = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def labels(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component_id) for nodes (node, least), one row a node: the smallest `least` of its component. roots is what connected_components gave."""
+    rooted = materialize(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    return rooted.join(least, "root").select("node", "component_id")

@@ -1,13 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
-
-1. Texts with the same set of shingles are one node from the start.
-2. A node has 32 keys of five minimum hashes each. Of two nodes at a similarity of 0.8, all keys
-   differ with a chance of 3 in a million, and with less above.
-3. Nodes that share a key are candidates; a candidate is a link only if the similarity of the
-   sets themselves is high enough.
-4. In a key, all are compared with the smallest node first. Those that end up in its component need
-   no more comparisons with each other; the others are then compared with all that are not yet
-   in their component. So a large group of near copies takes as many comparisons as it has rows.
+"""SimHash near-dedup at a stated Jaccard similarity of word shingles.
+
+Fingerprints of 64 bits place two texts at a similarity of 0.8 some 10 bits apart, and one pair in a
+million beyond 24. No choice of bit blocks routes such a radius, so here
+
+1. texts with the same set of shingles are one node, with the SimHash of the set;
+2. a node has 32 routing keys of five minimum hashes each. Of two nodes at a similarity of 0.8, all
+   keys differ with a chance of 3 in a million, and with less above;
+3. within a key, fingerprints are compared by XOR and bit counts; those within the radius are
+   candidates, and a candidate is a link only if the similarity of the sets themselves is high enough;
+4. all nodes of a key are compared with its smallest first. Those that end up in its component need no
+   more comparisons with each other; the others are compared tile by tile (tiles.py) with all that are
+   not yet in their component. So a large group of near copies takes as many comparisons as it has rows.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.common import materialize, release_shuffles
-from quillon.llm.components import connected_components
+from quillon.llm.components import connected_components, labels
+from quillon.llm.tiles import dealt, majority, near_pairs, whole_groups
 
 SEED = 42
+RADIUS = 24
 BANDS, ROWS = 32, 5
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.uint32(1)
 
@@ -57,15 +62,16 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame, shingle: int, kind: T.DataType) -> DataFrame:
-    """(id, text_hash, node, n, keys) of rows (id, text_hash, text): node is a hash of the set, n its size."""
+    """(id, text_hash, node, n, fp, keys) of rows (id, text_hash, text): node is a hash of the set, n its size, fp its SimHash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_hashes(t, shingle) for t in b.column(2).cast(pa.binary()).to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), keys], ["id", "text_hash", "node", "n", "keys"])
+            fps = np.frombuffer(b"".join([majority(s.view(np.uint8).reshape(-1, 8)) for s in sets]), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), keys], ["id", "text_hash", "node", "n", "fp", "keys"])
 
-    to = [("id", kind), ("text_hash", T.LongType()), ("node", T.LongType()), ("n", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
+    to = [("id", kind), ("text_hash", T.LongType()), ("node", T.LongType()), ("n", T.LongType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
     return docs.mapInArrow(run, T.StructType([T.StructField(*c) for c in to]))
 
 
@@ -79,47 +85,67 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, hashes array<long>")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def tile_candidates(placed: DataFrame, radius: int) -> DataFrame:
+    """Distinct pairs (a, n_a, b, n_b) of nodes of one key and of different roots, one of them outside the root of the key's centre, within radius bits.
+
+    placed: (key, fp, node, n, root, centre_root).
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, *rest in whole_groups(batches, 6):
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                fp, node, n, root, centre = (c[lo:hi] for c in rest)
+                outside = root != centre
+                if not outside.any():
+                    continue
+                for i, j in near_pairs(fp.view(np.uint64), radius):
+                    asked = (root[i] != root[j]) & (outside[i] | outside[j])
+                    i, j = i[asked], j[asked]
+                    swap = node[i] > node[j]
+                    i, j = np.where(swap, j, i), np.where(swap, i, j)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[i], n[i], node[j], n[j])], ["a", "n_a", "b", "n_b"])
+
+    columns = ["key", "fp", "node", "n", "root", "centre_root"]
+    return dealt(placed.select(columns), radius).select(columns).mapInArrow(run, "a long, n_a long, b long, n_b long").distinct()
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """(id, component_id) for every row of docs: component_id is the smallest id reachable over links.
 
-    Two texts are linked if the Jaccard similarity of their shingle sets is `similarity` or more; null texts and
-    texts without words are linked to each other. Rows with the same id each give a row. A null id stands in no
-    component_id unless all ids of its component are null, then that is null. An empty table gives no rows.
-    Other columns of docs are not looked at.
+    Two texts are linked if the Jaccard similarity of their shingle sets is `similarity` or more and their SimHashes are
+    within radius bits; null texts and texts without words are linked to each other. Rows with the same id each give a
+    row. A null id stands in no component_id unless all ids of its component are null, then that is null. An empty table
+    gives no rows. Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     marked = materialize(_nodes(source, shingle, docs.schema[id_col].dataType), "shingle-nodes")
-    distinct = marked.groupBy("node").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"))
+    distinct = marked.groupBy("node").agg(F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("text_hash").alias("text_hash"), F.min("id").alias("least"), F.first("keys").alias("keys"))
     distinct = materialize(distinct, "distinct-nodes")
-    keyed = distinct.select("node", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("centre"), F.count("*").alias("rows")).where("rows > 1").select("key", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n"))
-    members = materialize(keyed.join(materialize(shared, "shared-keys"), "key"), "band-members")
+    keyed = distinct.select("node", "n", "fp", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min(F.struct("node", "n", "fp")).alias("centre"), F.count("*").alias("rows")).where("rows > 1")
+    shared = materialize(shared.select("key", F.col("centre.node").alias("centre"), F.col("centre.n").alias("centre_n"), F.col("centre.fp").alias("centre_fp")), "shared-keys")
+    members = materialize(keyed.join(shared, "key"), "band-members")
     texts = distinct.join(members.select("node").distinct(), "node", "left_semi").select("node", "text_hash")
     wanted = source.join(texts, "text_hash").select("node", "text").groupBy("node").agg(F.first("text", True).alias("text"))
     sets = materialize(_sets(wanted, shingle), "shingle-sets")
     release_shuffles(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, n_a, b, n_b), a <> b."""
-        asked = pairs.where((F.col("n_a") >= similarity * F.col("n_b")) & (F.col("n_b") >= similarity * F.col("n_a")))
-        asked = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        """The links among distinct pairs (a, n_a, b, n_b), a <> b."""
+        asked = pairs.where((F.col("n_a") >= similarity * F.col("n_b")) & (F.col("n_b") >= similarity * F.col("n_a"))).select("a", "b")
         both = asked.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", F.size("x").alias("n_a"), F.size("y").alias("n_b"), F.size(F.array_intersect("x", "y")).alias("common"))
         return both.where(F.col("common") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
-    stars = members.where("node <> centre").select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("centre").alias("b"), F.col("centre_n").alias("n_b"))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre_fp"))) <= radius
+    stars = members.where((F.col("node") != F.col("centre")) & near).select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("centre").alias("b"), F.col("centre_n").alias("n_b")).distinct()
     links = materialize(verified(stars), "star-links")
     roots = materialize(connected_components(links), "star-roots")
     placed = members.join(roots.toDF("node", "root"), "node", "left").join(roots.toDF("centre", "centre_root"), "centre", "left")
-    placed = placed.select("key", "node", "n", "centre", F.coalesce("root", "node").alias("root"), F.coalesce("centre_root", "centre").alias("centre_root"))
-    placed = materialize(placed, "placed-members")
-    left = placed.where("root <> centre_root").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    others = placed.where("node <> centre").select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = verified(left.join(others, "key").where("root_a <> root_b"))
-    roots = connected_components(links.union(materialize(rest, "other-links")))
+    placed = placed.select("key", "fp", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("centre_root", "centre").alias("centre_root"))
+    open_ = placed.where("root <> centre_root").select("key").distinct()
+    placed = placed.join(materialize(open_, "open-keys"), "key", "left_semi")  # in most keys all are in the centre's component
+    rest = materialize(verified(materialize(tile_candidates(placed, radius), "candidates")), "other-links")
+    roots = connected_components(links.union(rest))
     release_shuffles(spark)
-
-    rooted = marked.groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = rooted.join(least, "root").select("node", "component_id")
-    return marked.join(label, "node", "left").select("id", "component_id")
+    return marked.join(labels(distinct.select("node", "least"), roots), "node", "left").select("id", "component_id")

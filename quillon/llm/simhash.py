@@ -6,8 +6,8 @@
    routing key that no true pair escapes.
 3. Within a key, rows are sorted by population count and compared tile against tile with
    numpy XOR and bit counts; a tile pair whose population counts differ beyond the radius is
-   skipped. A key with more rows than one task should hold is cut into tiles that meet
-   pairwise in tasks of their own, so no link is lost and no task grows with the input.
+   skipped. A key with more rows than one task should hold is made finer, and what is still too
+   large is cut into tiles that meet pairwise in tasks of their own, so no link is lost.
 4. A task reports a spanning forest of the links that it found, never all pairs; components are
    then joined up on the cluster.
 """
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.common import materialize, table
-from quillon.llm.components import connected_components, local_roots
+from quillon.llm.components import connected_components, labels
+from quillon.llm.shingles import jaccard_components
+from quillon.llm.tiles import dealt, links_in_groups, majority, signed, whole_groups
 
 SEED = 42
-TILE = 1024
-GROUP_ROWS = 8192
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -42,11 +42,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint8).reshape(-1, 8)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return int.from_bytes(majority(np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint8).reshape(-1, 8)), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -67,107 +63,37 @@ def routing_keys(fp: Column, radius: int, blocks: int) -> Column:
     keys = []
     for n, kept in enumerate(combinations(range(blocks), blocks - radius)):
         mask = sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in kept)
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.xxhash64(F.lit(n), fp.bitwiseAND(F.lit(signed))))
+        keys.append(F.xxhash64(F.lit(n), fp.bitwiseAND(F.lit(signed(mask)))))
     return F.array(*keys)
 
 
-def tile_roots(fps: np.ndarray, radius: int, tile: int = TILE) -> np.ndarray:
-    """Root index of each fingerprint under links of radius bits or fewer, by tiled comparison."""
-    ones = np.bitwise_count(fps)
-    order = np.argsort(ones, kind="stable")
-    x, ones = fps[order], ones[order].astype(np.int64)
-    root = np.arange(len(x))
-    starts = range(0, len(x), tile)
-    for i in starts:
-        left = x[i : i + tile]
-        for j in range(i, len(x), tile):
-            if ones[j] - ones[min(i + tile, len(x)) - 1] > radius:
-                break  # later tiles have still larger counts
-            a, b = np.nonzero(np.bitwise_count(left[:, None] ^ x[None, j : j + tile]) <= radius)
-            up = (a + i) < (b + j)
-            root = local_roots(len(x), np.concatenate([np.arange(len(x)), a[up] + i]), np.concatenate([root, b[up] + j]))
-    out = np.empty(len(x), np.int64)
-    out[order] = order[root]
-    return out
-
-
-def _links(key: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span what is within radius inside each run of equal keys."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    small = np.repeat(sizes <= 32, sizes)
-    a, b = [], []
-    kept = np.flatnonzero(small & np.repeat(sizes > 1, sizes))
-    k, x = key[kept], fps[kept]
-    for shift in range(1, 32):  # all small groups at once: each row against the shift-th after it
-        same = k[shift:] == k[:-shift]
-        if not same.any():
-            break
-        near = same & (np.bitwise_count(x[shift:] ^ x[:-shift]) <= radius)
-        a.append(x[:-shift][near])
-        b.append(x[shift:][near])
-    for s, n in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
-        group = np.unique(fps[s : s + n])
-        root = tile_roots(group, radius)
-        moved = root != np.arange(len(group))
-        a.append(group[moved])
-        b.append(group[root[moved]])
-    if not a:
-        return fps[:0], fps[:0]
-    a, b = np.concatenate(a), np.concatenate(b)
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    root = local_roots(len(nodes), at[: len(a)], at[len(a) :])
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
-
-
 def near_links(distinct: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     """Links (a, b) whose transitive closure is that of all pairs of fp within radius bits."""
     keyed = distinct.select("fp", F.explode(routing_keys(F.col("fp"), radius, blocks)).alias("key"))
-    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * GROUP_ROWS).select("key", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("cuts"))
-    cut = F.coalesce("cuts", F.lit(1))
-    own = F.pmod(F.xxhash64("fp", F.lit("tile")), cut).cast("int")
-    dealt = (
-        keyed.join(large, "key", "left")
-        .select("fp", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), cut - 1)).alias("other"))
-        .select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
-
-        def found(k: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-            a, b = _links(k, x, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        for batch in batches:
-            key = np.concatenate([key, batch.column(0).to_numpy()])
-            fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-            last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last group may go on
-            if last > 50_000:
-                yield found(key[:last], fps[:last])
-                key, fps = key[last:], fps[last:]
-        if len(key):
-            yield found(key, fps)
+        for key, fps in whole_groups(batches, 2):
+            a, b = links_in_groups(key, fps.view(np.uint64), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return dealt.repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(run, "a long, b long")
+    return dealt(keyed, radius).select("key", "fp").mapInArrow(run, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, blocks: int = 5, similarity: float | None = None) -> DataFrame:
     """(id, fp, component_id) for every row of docs: component_id is the smallest id reachable over links.
 
-    Null and empty texts have fingerprint 0 and are linked like any other. Rows with the same id each
-    give a row. A null id stands in no component_id unless all ids of its component are null, then that is null.
-    An empty table gives no rows. Other columns of docs are not looked at.
+    Texts are linked if their fingerprints are within radius bits. With a similarity, the radius only says which texts
+    are compared: linked are those whose shingle sets have at least this Jaccard similarity (see shingles.py), and fp is
+    left out. Null and empty texts have fingerprint 0 and are linked like any other. Rows with the same id each give a
+    row. A null id stands in no component_id unless all ids of its component are null, then that is null. An empty table
+    gives no rows. Other columns of docs are not looked at.
     """
+    if similarity is not None:
+        return jaccard_components(docs, id_col, text_col, shingle, similarity, radius)
     marked = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(near_links(marked.select("fp").distinct(), radius, blocks))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(label, "fp", "left").select("id", "fp", "component_id")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    roots = connected_components(near_links(distinct.select("fp"), radius, blocks))
+    return marked.join(labels(distinct.withColumnRenamed("fp", "node"), roots).withColumnRenamed("node", "fp"), "fp", "left").select("id", "fp", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

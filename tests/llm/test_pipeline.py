@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm.test_mixing import shares
 from tests.llm.test_quality import junk
-from tests.llm.test_simhash import brute as brute_groups
+from tests.llm.test_shingles import brute as brute_groups
 from tests.llm.test_winnowing import brute as brute_hits
 
 
@@ -52,7 +52,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     first = {d for d, _, _ in kept["quality"]}
     assert len(first ^ {d for d, t, _ in rows if d in good or t in {x for y, x, _ in rows if y in good}}) <= 14
     groups = brute_groups([(d, t) for d, t, _ in kept["quality"]])
-    assert [d for d, _, _ in kept["near_duplicates"]] == sorted(d for d, _, c in groups if d == c)
+    assert [d for d, _, _ in kept["near_duplicates"]] == sorted(d for d, c in groups if d == c)
     hits = brute_hits([(d, t) for d, t, _ in kept["near_duplicates"]], items)
     assert [d for d, _, _ in kept["decontamination"]] == sorted(int(d) for d, _, n, _ in hits if not n)
     by = {s: sum(len(t.split()) for _, t, x in kept["decontamination"] if x == s) for s in "xyz"}
@@ -68,11 +68,52 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, again.select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
 
 
-def test_empty_tables_and_nulls(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    for i, rows in enumerate([[], [(None, None, None, None, None), (None, "a b", None, None, 3), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "x y z", "en", None, 5)]]):
-        at = f"{tmp_path}/{i}"
-        spark.createDataFrame(rows, schema).write.parquet(f"{at}/documents.parquet")
-        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
-        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
-        assert corpus_pipeline.run(spark, at).count() == (0 if not i else corpus_pipeline.run(spark, at).count())
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+NULLS = [(None, None, None, None, None), (None, "a b", None, None, 3), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "x y z", "en", None, 5), (3, "X  y\nz", None, "s", 5)]
+
+
+def write_tables(spark, at, rows, names=()):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(7))
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+
+
+def test_empty_tables(spark, tmp_path):
+    write_tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_repeats_and_clashing_names(spark, tmp_path):
+    names = ["kept_id", "hit_id", "MIX_ID", "mix_copies", "mix_rows", "pu_score", "fp", "node", "nth", "id", "part", "ids"]
+    write_tables(spark, tmp_path, NULLS, names)
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = docs.collect()
+        assert name == "tokens" or docs.columns == columns
+
+    def texts(rows):
+        return sorted(map(str, ((r.doc_id, r.text) for r in rows)))
+
+    assert texts(kept["quality"]) == sorted(map(str, ((d, t) for d, t, *_ in NULLS)))  # without labels all stay
+    first = [(None, None), (None, "a b"), (1, ""), (2, "x y z")]
+    assert texts(kept["near_duplicates"]) == texts(kept["decontamination"]) == sorted(map(str, first))
+    mixed = texts(kept["mixing"])
+    assert all(mixed.count(x) in (1, 2) for x in map(str, [(2, "x y z")]))
+    assert not [x for x in mixed if x.startswith("(1,")]  # a source without words has a target of 0
+    words = sum(len((r.text or "").split()) for r in kept["mixing"])
+    assert abs(words - 7.5) <= 3  # the null source has 5 words, and half as many again
+    library, start, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0, []
+    rows = sorted(kept["mixing"], key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    for r in rows:
+        want.append((str(r.doc_id), len(library.encode(r.text or "", add_special_tokens=False).ids) + 1))
+    assert sorted((str(r.doc_id), r.n_tokens) for r in kept["tokens"]) == sorted(want)
+    for r in sorted(kept["tokens"], key=lambda r: r.start):
+        assert r.start == start
+        start += r.n_tokens

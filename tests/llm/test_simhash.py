@@ -56,9 +56,9 @@ def test_matches_brute_force(spark):
 
 
 def test_large_group_is_cut_into_tiles(spark, monkeypatch):
-    from quillon.llm import simhash
+    from quillon.llm import simhash, tiles
 
-    monkeypatch.setattr(simhash, "GROUP_ROWS", 8)
+    monkeypatch.setattr(tiles, "GROUP_ROWS", 8)
     rows = corpus(150)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.id, r.fp % (1 << 64), r.component_id) for r in simhash.simhash_components(docs).collect())
