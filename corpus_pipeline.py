@@ -16,43 +16,67 @@ from quillon.llm.common import materialize, table
 from quillon.llm.mixing import mix
 from quillon.llm.quality import THRESHOLD, scored, train
 from quillon.llm.rans import token_output
-from quillon.llm.shingles import jaccard_components
+from quillon.llm.shingles import RADIUS
+from quillon.llm.simhash import simhash_components
 from quillon.llm.winnowing import contamination
 
 #: No SQL: stages hash with XXH64 and write files. tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """name, made longer until docs has no such column in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at the threshold or above stay."""
+    """Documents that the classifier scores at the threshold or above stay, repeated rows too; a null text counts as empty.
+
+    Without labels that it can learn from, all stay. An empty table gives no rows.
+    """
     model = train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return scored(docs, model, to="pu_score").where(F.col("pu_score") >= THRESHOLD if model else F.lit(True)).drop("pu_score")
+    score = _free("pu_score", docs)
+    return scored(docs, model, to=score).where(F.col(score) >= THRESHOLD if model else F.lit(True)).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents at a Jaccard similarity of 0.8 or more on five-word shingles, and what these link, the smallest doc_id stays, once if its row is repeated."""
-    groups = jaccard_components(docs.select("doc_id", "text"), shingle=5, similarity=0.8)
-    kept = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Of documents at a Jaccard similarity of 0.8 or more on five-word shingles, and what these link, the smallest doc_id stays, once if its row is repeated.
+
+    All null, empty and wordless texts are one group. Rows without a doc_id are told apart by nothing: they all stay if
+    one of them does, once for each text. An empty table gives no rows.
+    """
+    groups = simhash_components(docs.select("doc_id", "text"), shingle=5, radius=RADIUS, similarity=0.8)
+    kept = _free("kept_id", docs)
+    first = groups.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(kept)).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    hit = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    """Documents that hold a window of a benchmark item go, and with them all rows of their doc_id; null and empty texts stay. An empty table gives no rows, an empty benchmark takes none."""
+    hit = _free("hit_id", docs)
+    hits = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("id").alias(hit)).distinct()
+    return docs.join(hits, F.col("doc_id").eqNullSafe(F.col(hit)), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows of one id share its copies, rounded by their texts' hashes."""
-    taken = mix(docs.select("doc_id", "text", "source")).groupBy(F.col("id").alias("mix_id")).agg(F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows")).where("mix_copies > 0")
+    """Each document as often as the mix takes it. Rows of one id share its copies, rounded by their texts' hashes.
+
+    A null source is a source of its own; null and empty texts have no words and the copies of their source's share.
+    An empty table gives no rows.
+    """
+    of, copies, rows = (_free(n, docs) for n in ("mix_id", "mix_copies", "mix_rows"))
+    taken = mix(docs.select("doc_id", "text", "source")).groupBy(F.col("id").alias(of)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
     part = F.pmod(F.xxhash64("text"), F.lit(1000)) / 1000
-    times = F.when(F.col("mix_rows") == 1, F.col("mix_copies")).otherwise(F.floor(F.col("mix_copies") / F.col("mix_rows") + part)).cast("int")
-    many = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id"))).withColumn("mix_copies", times)
-    return many.withColumn("mix_copies", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies")))).select(docs.columns)  # two at most for a row
+    times = F.when(F.col(rows) == 1, F.col(copies)).otherwise(F.floor(F.col(copies) / F.col(rows) + part)).cast("int")
+    many = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(of))).withColumn(copies, times)
+    return many.withColumn(copies, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select([F.col(f"`{c}`") for c in docs.columns])  # two at most for a row
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every copy, read back from the rANS shards."""
+    """(doc_id, start, n_tokens, ids_crc32) of every copy, read back from the rANS shards. A null text has the end id alone; null ids come first, an empty table gives no rows."""
     return token_output(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), ids=False).withColumnRenamed("id", "doc_id")
 
 
