@@ -9,8 +9,8 @@ million beyond 24. No choice of bit blocks routes such a radius, so here
 3. within a key, fingerprints are compared by XOR and bit counts; those within the radius are
    candidates, and a candidate is a link only if the similarity of the sets themselves is high enough;
 4. all nodes of a key are compared with its smallest first. Those that end up in its component need no
-   more comparisons with each other; the others are compared tile by tile (tiles.py) with all that are
-   not yet in their component. So a large group of near copies takes as many comparisons as it has rows.
+   more comparisons with each other; the others are compared tile by tile (tiles.py), the nearest
+   fingerprints first, with all that are not yet in their component, and only links leave the task.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ from pyspark.sql import types as T
 
 from quillon.llm.common import materialize, release_shuffles
 from quillon.llm.components import connected_components, labels
-from quillon.llm.tiles import dealt, majority, near_pairs, whole_groups
+from quillon.llm.tiles import dealt, majority, near_pairs
 
 SEED = 42
 RADIUS = 24
+#: Nodes of one key whose sets a task compares; at most twice as many are not dealt to more tasks.
+GROUP_ROWS = 512
 BANDS, ROWS = 32, 5
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.uint32(1)
 
@@ -76,37 +78,77 @@ def _nodes(docs: DataFrame, shingle: int, kind: T.DataType) -> DataFrame:
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, hashes) of rows (node, text)."""
+    """(node, hashes) of rows (node, text), hashes in ascending order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_hashes(t, shingle).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            sets = [np.sort(shingle_hashes(t, shingle).view(np.int64)) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
     return texts.mapInArrow(run, "node long, hashes array<long>")
 
 
-def tile_candidates(placed: DataFrame, radius: int) -> DataFrame:
-    """Distinct pairs (a, n_a, b, n_b) of nodes of one key and of different roots, one of them outside the root of the key's centre, within radius bits.
-
-    placed: (key, fp, node, n, root, centre_root).
-    """
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one key after the other, of batches sorted by key."""
+    held = None
+    for b in batches:
+        now = pa.Table.from_batches([b])
+        held = now if held is None else pa.concat_tables([held, now])
+        key = held.column("key").to_numpy()
+        starts = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1].tolist()
+        for lo, hi in zip(starts, starts[1:], strict=False):
+            yield held.slice(lo, hi - lo)
+        held = held.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _group_links(rows: pa.Table, similarity: float, radius: int) -> Iterator[tuple[int, int]]:
+    """Links between nodes of different roots in one key, one of them outside the root of the key's centre: a spanning forest of them."""
+    fp, node, n, root, centre, routing = (rows.column(c).to_numpy() for c in ("fp", "node", "n", "root", "centre_root", "routing"))
+    outside = root != centre
+    if not outside.any() or (root == root[0]).all():
+        return
+    keys = np.stack([k.values.to_numpy() for k in rows.column("keys")])
+    band = int(np.argmax(keys[0] == routing[0]))
+    hashes = [h.values.to_numpy() for h in rows.column("hashes")]
+    parts = []
+    for i, j in near_pairs(fp.view(np.uint64), radius):
+        asked = (root[i] != root[j]) & (outside[i] | outside[j]) & (n[i] >= similarity * n[j]) & (n[j] >= similarity * n[i])
+        i, j = i[asked], j[asked]
+        first = np.concatenate([np.argmax(keys[i[at : at + 8192]] == keys[j[at : at + 8192]], axis=1) for at in range(0, len(i), 8192)]) == band if len(i) else np.empty(0, bool)
+        parts.append((i[first], j[first]))  # a pair is looked at in the first key that it shares
+    if not parts:
+        return
+    i, j = (np.concatenate(p) for p in zip(*parts, strict=True))
+    nearest = np.argsort(np.bitwise_count(fp[i] ^ fp[j]), kind="stable")
+    up = dict(zip(root.tolist(), root.tolist(), strict=True))
+
+    def top(r: int) -> int:
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    for a, b in zip(i[nearest].tolist(), j[nearest].tolist(), strict=True):
+        x, y = top(int(root[a])), top(int(root[b]))
+        if x == y:
+            continue
+        small, large = sorted((hashes[a], hashes[b]), key=len)
+        common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+        if common >= similarity * (len(small) + len(large) - common):
+            up[x] = y
+            yield int(node[a]), int(node[b])
+
+
+def tile_links(placed: DataFrame, sets: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """Links (a, b) that _group_links finds in the keys of placed (key, fp, node, n, root, centre_root), with sets (node, keys, hashes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, *rest in whole_groups(batches, 6):
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                fp, node, n, root, centre = (c[lo:hi] for c in rest)
-                outside = root != centre
-                if not outside.any():
-                    continue
-                for i, j in near_pairs(fp.view(np.uint64), radius):
-                    asked = (root[i] != root[j]) & (outside[i] | outside[j])
-                    i, j = i[asked], j[asked]
-                    swap = node[i] > node[j]
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[i], n[i], node[j], n[j])], ["a", "n_a", "b", "n_b"])
-
-    columns = ["key", "fp", "node", "n", "root", "centre_root"]
-    return dealt(placed.select(columns), radius).select(columns).mapInArrow(run, "a long, n_a long, b long, n_b long").distinct()
+        for rows in _whole_groups(batches):
+            links = np.array(list(_group_links(rows, similarity, radius)), np.int64).reshape(-1, 2)
+            if len(links):
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+    groups = materialize(dealt(placed.withColumn("routing", F.col("key")), radius, GROUP_ROWS), "dealt-members")
+    return groups.join(sets, "node").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
@@ -145,7 +187,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = placed.select("key", "fp", "node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("centre_root", "centre").alias("centre_root"))
     open_ = placed.where("root <> centre_root").select("key").distinct()
     placed = placed.join(materialize(open_, "open-keys"), "key", "left_semi")  # in most keys all are in the centre's component
-    rest = materialize(verified(materialize(tile_candidates(placed, radius), "candidates")), "other-links")
+    rest = materialize(tile_links(placed, sets.join(distinct.select("node", "keys"), "node"), similarity, radius), "other-links")
     roots = connected_components(links.union(rest))
     release_shuffles(spark)
     return marked.join(labels(distinct.select("node", "least"), roots), "node", "left").select("id", "component_id")

@@ -76,7 +76,7 @@ def near_links(distinct: DataFrame, radius: int = 3, blocks: int = 5) -> DataFra
             a, b = links_in_groups(key, fps.view(np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return dealt(keyed, radius).select("key", "fp").mapInArrow(run, "a long, b long")
+    return dealt(keyed, radius).repartition("key").sortWithinPartitions("key").select("key", "fp").mapInArrow(run, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, blocks: int = 5, similarity: float | None = None) -> DataFrame:

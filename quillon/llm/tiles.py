@@ -98,21 +98,25 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def dealt(keyed: DataFrame, radius: int) -> DataFrame:
+def dealt(keyed: DataFrame, radius: int, rows: int | None = None) -> DataFrame:
     """keyed (key, fp, ..) so that groups of one key are what a task should hold, and rows within radius bits still meet.
 
-    A key with over 2 * GROUP_ROWS rows is made finer: of the residue classes of bit places modulo radius + 1, such rows
-    agree on one at least. What is still too large is cut into tiles that meet pairwise.
+    A key with over 2 * rows rows is made finer if the radius is below eight: of the residue classes of bit places modulo
+    radius + 1, such rows agree on one at least. What is still too large is cut into tiles that meet pairwise.
     """
+    rows = rows or GROUP_ROWS
+
     def sized(df: DataFrame) -> DataFrame:
-        large = df.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 2 * GROUP_ROWS).select("key", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("cuts"))
+        large = df.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * rows).select("key", F.ceil(F.col("rows") / rows).cast("int").alias("cuts"))
         return df.join(materialize(large, "large-keys"), "key", "left")  # written, so that Spark can split a frequent key's rows
 
     first = sized(keyed)
-    classes = [sum(1 << bit for bit in range(c, 64, radius + 1)) for c in range(radius + 1)]
-    finer = F.array(*(F.xxhash64("key", F.lit(c), F.col("fp").bitwiseAND(F.lit(signed(mask)))) for c, mask in enumerate(classes)))
-    second = sized(first.where("cuts is not null").drop("cuts").withColumn("key", F.explode(finer)))
+    second = first.where("cuts is not null")
+    if radius < 8:
+        classes = [sum(1 << bit for bit in range(c, 64, radius + 1)) for c in range(radius + 1)]
+        finer = F.array(*(F.xxhash64("key", F.lit(c), F.col("fp").bitwiseAND(F.lit(signed(mask)))) for c, mask in enumerate(classes)))
+        second = sized(second.drop("cuts").withColumn("key", F.explode(finer)))
     cut = F.coalesce("cuts", F.lit(1))
     tiled = second.withColumn("own", F.pmod(F.xxhash64("fp", F.lit("tile")), cut).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), cut - 1)))
     tiled = tiled.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other", "cuts")
-    return first.where("cuts is null").drop("cuts").unionByName(tiled).repartition("key").sortWithinPartitions("key")
+    return first.where("cuts is null").drop("cuts").unionByName(tiled)

@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+from quillon.llm import shingles
 from quillon.llm.shingles import jaccard_components
+from quillon.llm.simhash import simhash_components
 
 
 def brute(rows):
@@ -47,6 +49,13 @@ def test_matches_brute_force(spark):
     assert sorted((r.id, r.component_id) for r in jaccard_components(docs).collect()) == want
 
 
+def test_large_keys_are_made_finer_and_cut(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "GROUP_ROWS", 4)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.id, r.component_id) for r in simhash_components(docs, shingle=5, radius=shingles.RADIUS, similarity=0.8).collect()) == brute(rows)
+
+
 def test_stage_drops_near_copies(spark):
     rng = random.Random(3)
     words = [f"w{rng.randrange(5000)}" for _ in range(200)]
