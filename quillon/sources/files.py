@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.errors import SourceError
@@ -18,26 +22,37 @@ from quillon.types import require_unique
 
 @dataclass(frozen=True)
 class CsvOptions:
+    """Quotes inside quoted cells are doubled; blank lines are skipped.
+
+    multi_line lets quoted cells hold line breaks, and keeps Spark from splitting a file: turn it off for large files
+    without such cells. decimal is the mark before a number's fraction.
+    """
+
     header: bool = True
     delimiter: str = ","
     inference_rows: int = 100
     trim: bool = True
-    date_format: str | None = None
+    multi_line: bool = True
+    decimal: str = "."
+
+
+#: What both Python and Spark's CSV reader take for a number.
+_INT = re.compile(r"[+-]?[0-9]{1,10}").fullmatch
+_DOUBLE = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|NaN|[+-]?Infinity").fullmatch
 
 
 def _parses(kind: str, text: str) -> bool:
+    if kind == "int":
+        return _INT(text) is not None and -(1 << 31) <= int(text) < 1 << 31
+    if kind == "double":
+        return _DOUBLE(text) is not None
+    if kind == "boolean":
+        return text.lower() in ("true", "false")
     try:
-        if kind == "int":
-            return -(1 << 31) <= int(text) < 1 << 31
-        if kind == "double":
-            float(text)
-            return True
-        if kind == "boolean":
-            return text.lower() in ("true", "false")
         datetime.fromisoformat(text)
-        return len(text) >= 10
     except ValueError:
         return False
+    return len(text) >= 10
 
 
 def infer(values: Sequence[str | None]) -> T.DataType:
@@ -58,7 +73,7 @@ def _head(spark: SparkSession, path: str, n: int) -> list[str]:
 
 
 def _csv_reader(spark: SparkSession, o: CsvOptions):  # noqa: ANN202
-    return spark.read.option("header", o.header).option("sep", o.delimiter).option("ignoreLeadingWhiteSpace", o.trim).option("ignoreTrailingWhiteSpace", o.trim)
+    return spark.read.options(header=o.header, sep=o.delimiter, ignoreLeadingWhiteSpace=o.trim, ignoreTrailingWhiteSpace=o.trim, quote='"', escape='"', multiLine=o.multi_line)
 
 
 def csv_schema(spark: SparkSession, path: str, options: CsvOptions = CsvOptions()) -> T.StructType:
@@ -66,7 +81,7 @@ def csv_schema(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(
     lines = _head(spark, path, 1)
     if not lines or not lines[0].strip():
         raise SourceError(f"{path} is empty")
-    head = _csv_reader(spark, options).option("header", False).csv(spark.sparkContext.parallelize(lines[:1], 1)).first()
+    head = _csv_reader(spark, options).option("header", False).csv(path).first()
     names = [("" if v is None else v) for v in head]
     if not options.header:
         names = [f"Column{i}" for i in range(len(names))]
@@ -75,12 +90,18 @@ def csv_schema(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(
     require_unique(names)
     text = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = _csv_reader(spark, options).schema(text).csv(path).limit(options.inference_rows).collect()
-    return T.StructType([T.StructField(n, infer([r[i] for r in rows])) for i, n in enumerate(names)])
+    return T.StructType([T.StructField(n, infer([r[i] and r[i].replace(options.decimal, ".") for r in rows])) for i, n in enumerate(names)])
 
 
 def scan_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(), schema: T.StructType | None = None) -> DataFrame:
     """A lazy frame; a cell that doesn't parse is null."""
-    return _csv_reader(spark, options).option("mode", "PERMISSIVE").schema(schema or csv_schema(spark, path, options)).csv(path)
+    schema = schema or csv_schema(spark, path, options)
+    schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    reader = _csv_reader(spark, options).option("mode", "PERMISSIVE")
+    if options.decimal == ".":
+        return reader.schema(schema).csv(path)
+    raw = reader.schema(T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.FractionalType) else f.dataType) for f in schema.fields])).csv(path)
+    return raw.select(*(F.replace(f"`{f.name}`", F.lit(options.decimal), F.lit(".")).try_cast(f.dataType).alias(f.name) if isinstance(f.dataType, T.FractionalType) else F.col(f"`{f.name}`") for f in schema.fields))
 
 
 def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(), schema: T.StructType | None = None) -> DataFrame:
@@ -89,25 +110,64 @@ def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions(),
 
 
 def write_csv(df: DataFrame, path: str, options: CsvOptions = CsvOptions(), mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", options.header).option("sep", options.delimiter).csv(path)
+    """Line breaks, marks and quotes in cells are kept: quoted, and quotes doubled."""
+    df.write.mode(mode).options(header=options.header, sep=options.delimiter, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+_STRING = r'("(?:[^"\\\\]++|\\\\.)*+")'  # a string literal, kept as it is
+_COMMENTS, _COMMAS = rf"{_STRING}|//[^\n]*+|/\*[\s\S]*?\*/", rf"{_STRING}|,(?=\s*+[}}\]])"
 
 
-def _doubles(kind: T.DataType) -> T.DataType:
-    if isinstance(kind, T.NumericType):
+def _json_records(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """(record): the text of every object, without comments and trailing commas."""
+    text = F.regexp_replace(F.regexp_replace("value", _COMMENTS, "$1"), _COMMAS, "$1")
+    found = spark.read.text(path, wholetext=not lines).select(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")).alias("record")).where("record <> ''")
+    if lines:
+        return found
+    array = F.from_json("record", "array<string>", {"mode": "FAILFAST"})
+    return found.select(F.explode(F.when(F.col("record").startswith("{"), F.array("record")).otherwise(array)).alias("record"))
+
+
+def _json_kind(values: Sequence[object]) -> T.DataType:
+    seen = [v for v in values if v is not None]
+    if seen and all(isinstance(v, bool) for v in seen):
+        return T.BooleanType()
+    if seen and all(isinstance(v, (int, float)) and not isinstance(v, bool) for v in seen):
         return T.DoubleType()
-    return kind if isinstance(kind, (T.BooleanType, T.StringType)) else T.StringType()
+    return T.StringType()
+
+
+def json_schema(records: Sequence[str]) -> T.StructType:
+    """Names as they stand first, in any case; numbers are doubles, and what is no number or boolean is its text."""
+    names: dict[str, str] = {}
+    values: dict[str, list] = {}
+    for text in records:
+        for name, value in json.loads(text).items():
+            names.setdefault(name.lower(), name)
+            values.setdefault(name.lower(), []).append(value)
+    return T.StructType([T.StructField(names[k], _json_kind(v)) for k, v in values.items()])
 
 
-def scan_json(spark: SparkSession, path: str, lines: bool = False, schema: T.StructType | None = None, inference_fraction: float = 1.0) -> DataFrame:
-    """An array of objects or one object a file; lines: an object a line, which is what splits. Numbers are doubles, nested values their text."""
-    reader = spark.read.option("multiLine", not lines).option("allowComments", True)
-    if schema is None:
-        try:
-            found = reader.option("samplingRatio", inference_fraction).json(path).schema
-        except AnalysisException as e:
-            raise SourceError(f"{path} can't be read") from e
-        schema = T.StructType([T.StructField(f.name, _doubles(f.dataType)) for f in found.fields if f.name != "_corrupt_record"])
-    return reader.schema(schema).json(path) if schema.fields else spark.createDataFrame([], T.StructType())
+def scan_json(spark: SparkSession, path: str, lines: bool = False, schema: T.StructType | None = None, inference_records: int = 100) -> DataFrame:
+    """An array of objects or one object a file; lines: an object a line, which is what splits.
+
+    Names meet in any case; an object that has one twice is an error, and so is text that is no JSON. Comments and
+    trailing commas are passed over. Without a schema, the first inference_records objects settle it.
+    """
+    try:
+        records = _json_records(spark, path, lines)
+        if schema is None:
+            schema = json_schema([r.record for r in records.limit(inference_records).collect()])
+    except (PySparkException, Py4JJavaError, ValueError, AttributeError) as e:
+        raise SourceError(f"{path} can't be read") from e
+    if not schema.fields:
+        return spark.createDataFrame([], T.StructType())
+    values = records.select(F.transform_keys(F.from_json("record", "map<string,string>", {"mode": "FAILFAST"}), lambda k, _: F.lower(k)).alias("m"))
+
+    def cell(f: T.StructField) -> Column:
+        return F.element_at("m", f.name.lower()).try_cast(f.dataType).alias(f.name)
+
+    return values.select(*(cell(f) for f in schema.fields))
 
 
 def read_json(spark: SparkSession, path: str, **options: object) -> DataFrame:
@@ -150,11 +210,32 @@ def parquet_chunks(df: DataFrame, rows: int = 10_000):  # noqa: ANN201
         yield chunk
 
 
-def to_arrow(df: DataFrame) -> pa.Table:
-    return df.toArrow()
+@dataclass(frozen=True)
+class ArrowOptions:
+    """time_zone: what timestamps are told in; validate: whether a type that would change on the way is an error."""
+
+    time_zone: str = "UTC"
+    validate: bool = True
+
+
+def to_arrow(df: DataFrame, options: ArrowOptions = ArrowOptions()) -> pa.Table:
+    """All rows on the driver, in Arrow batches; timestamps in the options' zone."""
+    table = df.toArrow()
+    for i, f in enumerate(table.schema):
+        if pa.types.is_timestamp(f.type) and f.type.tz:
+            table = table.set_column(i, f.name, table.column(i).cast(pa.timestamp(f.type.unit, options.time_zone)))
+    return table
+
+
+#: Arrow types that Spark has no equal for and would widen or refuse.
+_CHANGED = (pa.types.is_unsigned_integer, pa.types.is_float16, pa.types.is_time, pa.types.is_duration)
 
 
-def from_arrow(spark: SparkSession, table: pa.Table) -> DataFrame:
+def from_arrow(spark: SparkSession, table: pa.Table, options: ArrowOptions = ArrowOptions()) -> DataFrame:
+    if options.validate:
+        for f in table.schema:
+            if any(changed(f.type) for changed in _CHANGED):
+                raise SourceError(f"{f.name} is {f.type}, which Spark has no equal for")
     return spark.createDataFrame(table)
 
 

@@ -30,6 +30,40 @@ def test_csv(spark, tmp_path):
         files.scan_csv(spark, str(tmp_path / "none.csv"))
 
 
+def test_csv_quotes_and_breaks(spark, tmp_path):
+    path = written(tmp_path / "q.csv", 'id,note,big\n1,"a ""b"" c",1_000\n\n2,"two\nlines, one cell",2\n3,"",3\n')
+    df = files.scan_csv(spark, path)
+    assert [f.dataType.simpleString() for f in df.schema] == ["int", "string", "string"]
+    assert [(r.id, r.note, r.big) for r in df.orderBy("id").collect()] == [(1, 'a "b" c', "1_000"), (2, "two\nlines, one cell", "2"), (3, None, "3")]
+    files.write_csv(df, f"{tmp_path}/out")
+    assert sorted(map(str, files.scan_csv(spark, f"{tmp_path}/out").collect())) == sorted(map(str, df.collect()))
+    comma = files.scan_csv(spark, written(tmp_path / "k.csv", "a;b\n1,5;x\n-2,25;y\n"), files.CsvOptions(delimiter=";", decimal=","))
+    assert [r.a for r in comma.collect()] == [1.5, -2.25]
+
+
+def test_json_loose(spark, tmp_path):
+    text = '[{"A": 1, "s": "x, ] // no comment", /* one */ "n": null,},\n // two\n {"a": 2, "S": "q\\"}", "Ok": true}, ]'
+    df = files.scan_json(spark, written(tmp_path / "l.json", text))
+    assert df.columns == ["A", "s", "n", "Ok"]
+    assert [tuple(r) for r in df.orderBy("A").collect()] == [(1.0, "x, ] // no comment", None, None), (2.0, 'q"}', None, True)]
+    many = "\n".join(f'{{"i": {i}, "t": "v{i}",}}' for i in range(300))
+    lines = files.scan_json(spark, written(tmp_path / "m.json", many), lines=True)
+    assert lines.agg({"i": "sum"}).first()[0] == sum(range(300))
+    assert files.scan_json(spark, written(tmp_path / "e.json", "[]")).count() == 0
+    assert [tuple(r) for r in files.scan_json(spark, written(tmp_path / "o.json", '{"a": {"b": 1}}')).collect()] == [('{"b":1}',)]
+    for i, bad in enumerate(['[{"a": 1}', '[{"a" 1}]', "nonsense"]):
+        with pytest.raises(SourceError):
+            files.scan_json(spark, written(tmp_path / f"bad{i}.json", bad)).collect()
+
+
+def test_arrow_options(spark):
+    table = pa.table({"u": pa.array([1], pa.uint32())})
+    with pytest.raises(SourceError):
+        files.from_arrow(spark, table)
+    at = spark.sql("select timestamp '2024-01-02 03:04:05Z' as t")
+    assert files.to_arrow(at, files.ArrowOptions(time_zone="Asia/Tokyo")).schema.field("t").type.tz == "Asia/Tokyo"
+
+
 def test_inference_order():
     kinds = {("1", " 2"): "int", ("1", "2.5"): "double", ("true", "False"): "boolean", ("2024-01-02", "2024-01-02T03:04:05"): "timestamp", ("1", "x"): "string", ("", None): "string", ("3000000000",): "double"}
     for values, kind in kinds.items():
