@@ -6,12 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.errors import OrderError, QuillonError, SchemaError, TypeMismatch
 from quillon.functions.expressions import Expr
+from quillon.sources.scratch import written
 from quillon.types import field, require, require_unique
 
 
@@ -48,9 +48,10 @@ def take(df: DataFrame, n: int, order: str | Sequence[str]) -> DataFrame:
 
 
 def skip(df: DataFrame, n: int, order: str | Sequence[str]) -> DataFrame:
+    """All but the first n rows in order; starts a job (numbered)."""
     if n < 0:
         raise SchemaError("a number of rows isn't negative")
-    return _ordered(df, order).offset(n)
+    return numbered(df, order, "__row").where(F.col("__row") >= n).drop("__row")
 
 
 def slice_(df: DataFrame, start: int, length: int, order: str | Sequence[str], strict: bool = False) -> DataFrame:
@@ -66,17 +67,18 @@ def slice_(df: DataFrame, start: int, length: int, order: str | Sequence[str], s
 def numbered(df: DataFrame, order: str | Sequence[str], to: str = "row_id") -> DataFrame:
     """df with the number of each row in order, from 0, without sorting all rows in one task.
 
-    Rows are range-partitioned and sorted, and numbered by partition; what is counted before each partition are
-    the partitions' sizes alone. The order has to be unique.
+    Starts a job: rows are range-partitioned, sorted and written to shared storage with their partition and place, since
+    sampled ranges mustn't change between two uses. What is added up before each partition are the partitions' sizes
+    alone. The order has to be unique.
     """
     names = require(df, [order] if isinstance(order, str) else list(order))
-    keys = [F.col(c).asc_nulls_last() for c in names]
-    dealt = df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)  # sampled ranges mustn't change between the two uses
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    keys = [F.col(f"`{c}`").asc_nulls_last() for c in names]
+    dealt = written(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(sizes.select("__part", before.alias("__before")))  # a row a partition
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1
-    return dealt.withColumn("__at", inside).join(starts, "__part").select(*df.columns, (F.col("__before") + F.col("__at")).alias(to))
+    return dealt.join(starts, part == F.col("__part")).select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__before") + inside).alias(to))
 
 
 def select_rows(df: DataFrame, positions: Sequence[int], order: str | Sequence[str], strict: bool = True) -> DataFrame:
@@ -114,8 +116,17 @@ def top_k(df: DataFrame, of: str, k: int, label: str, largest: bool = True) -> D
 def arg_sort(df: DataFrame, of: str, order: str, descending: bool = False) -> DataFrame:
     """The order column's values, sorted by `of`, nulls last, ties in order; `place` says where each stands."""
     name = field(df, of).name
-    key = F.col(name).desc_nulls_last() if descending else F.col(name).asc_nulls_last()
-    return df.select(F.col(order), (F.row_number().over(Window.orderBy(key, F.col(order))) - 1).alias("place"))
+    key = F.struct(F.col(name).isNull().alias("null"), F.col(name).alias("value"))
+    if not descending:
+        return numbered(df.select(F.col(order), key.alias("__key")), ["__key", order], "place").select(order, "place")
+    # the other way round, ties first: from the end, numbers descend with the key and ascend with the order
+    first = numbered(df.select(F.col(order), F.col(name).alias("__value")).where(F.col(name).isNotNull()), ["__value", order], "__n")
+    ties = first.groupBy("__value").agg(F.min("__n").alias("__low"), F.max("__n").alias("__high"))
+    met = first.join(ties, "__value")
+    known = df.where(F.col(name).isNotNull()).count()
+    out = met.select(F.col(order), (F.lit(known - 1) - F.col("__high") + F.col("__n") - F.col("__low")).alias("place"))
+    rest = numbered(df.where(F.col(name).isNull()).select(order), order, "__n")
+    return out.unionByName(rest.select(F.col(order), (F.col("__n") + known).alias("place")))
 
 
 # --- concatenation --------------------------------------------------------------------------------
@@ -144,10 +155,9 @@ def concat_columns(frames: Sequence[DataFrame], orders: Sequence[str | Sequence[
         raise SchemaError(f"numbers of rows differ: {sorted(sizes)}")
     out = None
     for f, order in zip(frames, orders, strict=True):
-        w = Window.orderBy(*(F.col(c).asc_nulls_last() for c in require(f, [order] if isinstance(order, str) else list(order))))
-        now = f.withColumn("__at", F.row_number().over(w))
-        out = now if out is None else out.join(now, "__at")
-    return out.drop("__at")
+        now = numbered(f, order, "__row")
+        out = now if out is None else out.join(now, "__row")
+    return out.drop("__row")
 
 
 # --- splits and scaling ---------------------------------------------------------------------------
@@ -160,8 +170,9 @@ def train_test_split(df: DataFrame, order: str, ratio: float = 0.8, seed: int =
     """
     if not 0 < ratio < 1:
         raise SchemaError("a ratio lies between 0 and 1")
-    spread = F.xxhash64(F.lit(seed), F.col(field(df, order).name))
-    bin_ = F.shiftrightunsigned(spread, 52)
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(field(df, order).name).cast("string"), F.lit("null")))
+    spread = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")  # 60 bits
+    bin_ = F.shiftright(spread, 48)
     counts = {r["__b"]: r["n"] for r in df.groupBy(bin_.alias("__b")).agg(F.count("*").alias("n")).collect()}  # 4096 at most
     want, before, cut = int(sum(counts.values()) * ratio), 0, None
     for b in sorted(counts):

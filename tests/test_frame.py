@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon import ml
@@ -165,7 +166,7 @@ def test_window_needs_an_order_and_a_free_name(spark):
 def test_global_cumulative_sum(spark):
     f = spark.createDataFrame([(i, float(i % 5) if i % 3 else None) for i in range(500)], "k long, v double")
     a = {r.k: r.r for r in windows.cumulative(f, "sum", "v", "r", "k").collect()}
-    assert {r.k: r.r for r in windows.cumulative_sum_global(f, "v", "r", "k", 16).collect()} == a
+    assert {r.k: r.r for r in windows.cumulative_sum_global(f, "v", "r", "k").collect()} == a
     assert windows.cumulative_sum_global(f.limit(0), "v", "r", "k").count() == 0
 
 
@@ -265,3 +266,63 @@ def test_models(spark):
     weight = ml.feature_importance("binary", model, df.limit(100), ["a", "b"])
     assert weight["a"] > 0 and weight["b"] > 0
     assert ml.sample(np.array([0.0, 50.0, 1.0]), seed=1) == 1
+
+
+def test_windows_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BLOCK", 16)
+    values = [None if i % 7 == 0 else (i * 37) % 11 - 5 for i in range(150)]
+    f = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "k long, v int").repartition(6)
+    get = lambda df, c="r": [r[c] for r in df.orderBy("k").collect()]
+
+    def so_far(function):
+        return [None if v is None else function([x for x in values[: i + 1] if x is not None]) for i, v in enumerate(values)]
+
+    for name, function in {"sum": sum, "min": min, "max": max}.items():
+        assert get(windows.cumulative(f, name, "v", "r", "k")) == so_far(function)
+    assert get(windows.cumulative_count(f, "v", "r", "k")) == so_far(len)
+    filled = windows.fill(f, "v", "k")
+    last = next_ = None
+    forward, backward = [], []
+    for v in values:
+        last = v if v is not None else last
+        forward.append(last)
+    for v in reversed(values):
+        next_ = v if v is not None else next_
+        backward.append(next_)
+    assert get(filled, "v") == forward
+    assert get(windows.fill(f, "v", "k", False), "v") == backward[::-1]
+    for size in (1, 5, 40):
+        want = [None if i + 1 < size or None in values[i + 1 - size : i + 1] else sum(values[i + 1 - size : i + 1]) for i in range(150)]
+        assert get(windows.rolling(f, "sum", "v", "r", size, "k")) == want
+    for periods in (-20, -1, 0, 3, 50):
+        want = [values[i - periods] if 0 <= i - periods < 150 else 99 for i in range(150)]
+        assert get(windows.shift(f, "v", "r", periods, "k", 99)) == want
+    assert get(windows.row_number(f, "r", "k")) == list(range(1, 151))
+    plan = windows.rolling(f, "sum", "v", "r", 5, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+
+
+def test_exact_products(spark, monkeypatch):
+    monkeypatch.setattr(windows, "BLOCK", 8)
+    f = spark.createDataFrame([(i, 3 if i < 39 else None if i % 2 else -1) for i in range(60)], "k long, v long")
+    got = [r.r for r in windows.cumulative(f, "product", "v", "r", "k").orderBy("k").collect()]
+    assert got[:39] == [3 ** (i + 1) for i in range(39)]
+    assert got[39:43] == [None, -(3**39), None, 3**39]
+    both = f.withColumn("p", F.col("k") % 2)
+    odd = {r.k: r.r for r in windows.cumulative(both, "product", "v", "r", "k", partition="p").collect()}
+    assert odd[37] == 3**19 and odd[40] == -(3**20)
+    over = spark.createDataFrame([(i, 10**10) for i in range(3)], "k long, v long")
+    with pytest.raises(Exception, match="doesn't fit"):
+        windows.cumulative(over, "product", "v", "r", "k").collect()
+    zero = spark.createDataFrame([(i, 0 if i == 0 else 10**10) for i in range(30)], "k long, v long")
+    assert {r.r for r in windows.cumulative(zero, "product", "v", "r", "k").collect()} == {0}
+
+
+def test_arg_sort_and_skip(spark):
+    f = spark.createDataFrame([(i, None if i % 5 == 0 else i * 7 % 4) for i in range(40)], "k long, v int").repartition(3)
+    rows_ = [(i, None if i % 5 == 0 else i * 7 % 4) for i in range(40)]
+    for descending in (False, True):
+        want = sorted(rows_, key=lambda r: (r[1] is None, (-r[1] if descending else r[1]) if r[1] is not None else 0, r[0]))
+        got = sorted((r.place, r.k) for r in rows.arg_sort(f, "v", "k", descending).collect())
+        assert got == [(n, k) for n, (k, _) in enumerate(want)]
+    assert sorted(r.k for r in rows.skip(f, 35, "k").collect()) == [35, 36, 37, 38, 39]
