@@ -20,6 +20,22 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def tanh(x: Column) -> Column:
+    return F.tanh(x)
+
+
+def silu(x: Column) -> Column:
+    return x * sigmoid(x)
+
+
+def softplus(x: Column) -> Column:
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def elu(x: Column, alpha: float = 1.0) -> Column:
+    return F.when(x > 0, x).otherwise(alpha * F.expm1(x))
+
+
 def gelu(x: Column) -> Column:
     """By the tanh approximation."""
     return 0.5 * x * (1 + F.tanh(math.sqrt(2 / math.pi) * (x + 0.044715 * x * x * x)))

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillon.errors import SourceError
 
 #: The special tokens, with ids from 0.
 SPECIAL = ("<PAD>", "<UNK>", "<BOS>", "<EOS>")
 PAD, UNK, BOS, EOS = range(4)
+WORD = r"[\p{L}\p{Nd}]+"
+#: Words of a vocabulary that every task may hold; a larger one is joined.
+HELD = 200_000
 
 
 def tokenize(text: Column) -> Column:
     """Lower-cased runs of letters and digits; null for null."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def word_count(text: Column) -> Column:
+    """How many words tokenize gives, without making them; null for null."""
+    return F.regexp_count(F.lower(text), F.lit(WORD))
 
 
 def vocabulary(docs: DataFrame, text_col: str, max_size: int = 10_000, min_count: int = 1) -> DataFrame:
@@ -27,13 +43,29 @@ def vocabulary(docs: DataFrame, text_col: str, max_size: int = 10_000, min_count
 def encode(docs: DataFrame, vocab: DataFrame, text_col: str, key_col: str, length: int | None = None, add_ends: bool = True, to: str = "ids") -> DataFrame:
     """(key, ids): ids of the words, UNK for those without, BOS and EOS around, cut or padded to length. Keys are unique.
 
-    Words meet the vocabulary in a join, so neither has to fit in memory.
+    A vocabulary of HELD words at most goes to the tasks, which look words up in Arrow where the texts lie; a larger one
+    meets the words in a join, so neither has to fit in memory. A null text has no words.
     """
-    words = docs.select(F.col(key_col), F.posexplode_outer(tokenize(F.col(text_col))).alias("at", "token"))
-    known = words.join(vocab.where(F.col("id") >= len(SPECIAL)).select("token", "id"), "token", "left")
-    pair = F.struct("at", F.coalesce("id", F.lit(UNK)).alias("id"))
-    rows = known.groupBy(key_col).agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), pair))).alias("pairs"))
-    ids = F.transform("pairs", lambda p: p["id"])
+    known = vocab.where(F.col("id") >= len(SPECIAL)).select("token", "id")
+    held = known.limit(HELD + 1).toArrow()
+    if held.num_rows <= HELD:
+        words, numbers = held.column("token").combine_chunks(), np.append(held.column("id").to_numpy(), UNK).astype(np.int32)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = b.column(1)
+                at = pc.fill_null(pc.index_in(lists.flatten(), words), len(words)).to_numpy()
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(numbers[at]))], [key_col, "__ids"])
+
+        schema = T.StructType([docs.schema[key_col], T.StructField("__ids", T.ArrayType(T.IntegerType()))])
+        rows, ids = docs.select(key_col, tokenize(F.col(text_col))).mapInArrow(run, schema), F.col("__ids")
+    else:
+        found = docs.select(F.col(key_col), F.posexplode_outer(tokenize(F.col(text_col))).alias("at", "token")).join(known, "token", "left")
+        pair = F.struct("at", F.coalesce("id", F.lit(UNK)).alias("id"))
+        rows = found.groupBy(key_col).agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), pair))).alias("__pairs"))
+        ids = F.transform("__pairs", lambda p: p["id"])
     if add_ends:
         ids = F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))
     if length is not None:
@@ -41,9 +73,26 @@ def encode(docs: DataFrame, vocab: DataFrame, text_col: str, key_col: str, lengt
     return rows.select(key_col, ids.alias(to))
 
 
-def decode(ids: Column, vocab: DataFrame) -> Column:
-    """Words joined by spaces: PAD and BOS skipped, up to EOS. The vocabulary, of its bounded size, becomes a map literal."""
-    names = F.create_map(*(F.lit(x) for r in vocab.where(F.col("id") >= UNK).collect() for x in (r.id, r.token)))
+def save_vocabulary(vocab: DataFrame, path: str) -> None:
+    """A JSON object an entry, with its id and word."""
+    vocab.select("id", "token", "n").write.json(path)
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    loaded = spark.read.schema("token string, n long, id int").json(path)
+    if loaded.groupBy("id").count().where("count > 1 or id is null").limit(1).count():
+        raise SourceError(f"{path} has an id twice, or a word without one")
+    return loaded
+
+
+def decode(docs: DataFrame, vocab: DataFrame, ids_col: str = "ids", to: str = "text") -> DataFrame:
+    """docs with a column of words joined by spaces: PAD and BOS skipped, up to EOS, UNK for an id without a word.
+
+    The words lie in an array by id, which is broadcast: a vocabulary has a bounded size and its ids are dense.
+    """
+    words = vocab.agg(F.array_sort(F.collect_list(F.struct("id", "token"))).alias("__w")).select(F.transform("__w", lambda x: x["token"]).alias("__words"))
+    ids = F.col(ids_col)
     end = F.array_position(ids, EOS)
     upto = F.when(end > 0, F.slice(ids, 1, F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(ids)
-    return F.array_join(F.transform(F.filter(upto, lambda i: ~i.isin(PAD, BOS)), lambda i: F.coalesce(names[i], F.lit(SPECIAL[UNK]))), " ")
+    said = F.transform(F.filter(upto, lambda i: ~i.isin(PAD, BOS)), lambda i: F.coalesce(F.get("__words", i), F.lit(SPECIAL[UNK])))
+    return docs.join(F.broadcast(words)).withColumn(to, F.array_join(said, " ")).drop("__words")

@@ -87,3 +87,14 @@ def embed(df: DataFrame, text_col: str, function: object, to: str = "embedding")
     """A column of vectors that a function makes of a pandas Series of texts, in Arrow batches."""
     make = F.pandas_udf(function, "array<float>")
     return df.withColumn(to, make(F.col(text_col)))
+
+
+def as_rows(df: DataFrame, columns: Sequence[str], to: str = "vector") -> DataFrame:
+    """Number columns packed into one of arrays; they go, the others stay."""
+    packed = F.array(*(F.col(f"`{c}`").cast("double") for c in columns))
+    return df.withColumn(to, packed).drop(*(c for c in columns if c != to))
+
+
+def flattened(df: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
+    """The other way round: a column for each place of an array, null beyond its end."""
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c != vector), *(F.get(vector, F.lit(i)).alias(n) for i, n in enumerate(names)))

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from quillon.errors import QuillonError, SchemaError
 
 
-def create(spark: SparkSession, values: Sequence, value_type: str, labels: Sequence | None = None, label_type: str = "int") -> DataFrame:
-    """Labels are 0, 1, 2 .. unless given."""
+def create(spark: SparkSession, values: Sequence, value_type: str, labels: Sequence | None = None, label_type: str = "int", known: Sequence[bool] | None = None) -> DataFrame:
+    """Labels are 0, 1, 2 .. unless given; a value that isn't known is null."""
     names = list(range(len(values))) if labels is None else list(labels)
     if len(names) != len(values):
         raise SchemaError("as many labels as values")
+    if known is not None:
+        values = [v if k else None for v, k in zip(values, known, strict=True)]
     return spark.createDataFrame(list(zip(names, values, range(len(values)), strict=True)), f"label {label_type}, value {value_type}, position long")
 
 
@@ -30,6 +32,21 @@ def get(series: DataFrame, label: object) -> object:
     return row.value
 
 
+def try_get(series: DataFrame, label: object, default: object = None) -> object:
+    """get, or the default without such a row."""
+    try:
+        return get(series, label)
+    except KeyError:
+        return default
+
+
+def label_at(series: DataFrame, position: int) -> object:
+    row = series.where(F.col("position") == position).select("label").first()
+    if row is None:
+        raise SchemaError(f"no row {position}")
+    return row.label
+
+
 def contains(series: DataFrame, label: object) -> bool:
     return not series.where(F.col("label") == F.lit(label)).isEmpty()
 

@@ -13,16 +13,27 @@ from quillon.functions.expressions import col, not_
 from quillon.operators import aggregates as agg
 from quillon.operators import columns, joins, rows, series, windows
 from quillon.sources.files import scan_parquet
+from quillon.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 _LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
+class Tables:
+    """A reader of the test tables by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.folder = spark, sf_dir.rstrip("/")
+
+    def __call__(self, name: str) -> DataFrame:
+        return scan_parquet(self.spark, f"{self.folder}/{name}.parquet")
+
+
 def query(sql: str | None = None) -> Callable:
-    """Register a function (t, ) that takes a reader of tables by name."""
+    """Register a function that takes Tables."""
     def add(function: Callable) -> Callable:
-        QUERIES[function.__name__] = lambda spark, sf_dir: _frame(function(lambda name: scan_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")))
+        QUERIES[function.__name__] = lambda spark, sf_dir: _frame(function(Tables(spark, sf_dir)))
         if sql:
             SQL[function.__name__] = sql
         return function
@@ -156,9 +167,9 @@ def fill_null(t):  # noqa: ANN001, ANN201
     return Frame(_nulled(t)).fill_null("a", 0.0)
 
 
-@query(f"select event_id, last_value(a ignore nulls) over (order by event_id rows unbounded preceding) as a from {_NULLED} where event_id > 0")
+@query(f"select event_id, last_value(a ignore nulls) over (order by event_id rows unbounded preceding) as a from {_NULLED}")
 def fill_forward(t):  # noqa: ANN001, ANN201
-    return Frame(_nulled(t).select("event_id", "a").where("event_id > 0"), "event_id").fill_forward("a", strict=False)
+    return Frame(_nulled(t).select("event_id", "a"), "event_id").fill_forward("a", strict=False)
 
 
 @query(f"select event_id, first_value(a ignore nulls) over (order by event_id rows between current row and unbounded following) as a from {_NULLED}")
@@ -188,11 +199,11 @@ def normalize_zscore(t):  # noqa: ANN001, ANN201
 
 # --- joins ----------------------------------------------------------------------------------------
 
-_C, _O = "(select c_custkey, c_name from customer where c_custkey % 3 <> 0)", "(select o_custkey as c_custkey, o_orderkey from orders where o_custkey % 5 <> 0)"
+_C, _O = "(select c_custkey + 100 as c_custkey, c_name from customer)", "(select o_custkey as c_custkey, o_orderkey from orders)"
 
 
 def _sides(t):  # noqa: ANN001, ANN202
-    return t("customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_name"), t("orders").where("o_custkey % 5 <> 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return t("customer").select((F.col("c_custkey") + 100).alias("c_custkey"), "c_name"), t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
 
 
 @query(f"select c.c_custkey, c_name, o_orderkey from {_C} c join {_O} o on c.c_custkey = o.c_custkey")
@@ -215,10 +226,10 @@ def join_full_coalesced_key(t):  # noqa: ANN001, ANN201
     return joins.full_outer_join(*_sides(t), "c_custkey")
 
 
-@query("select l.l_partkey, l.l_suppkey, l.l_orderkey, s.n as times from lineitem l join (select l_partkey, l_suppkey, count(*) as n from lineitem group by all) s on l.l_partkey = s.l_partkey and l.l_suppkey = s.l_suppkey where l.l_linenumber = 1")
+@query("select l.l_partkey, l.l_suppkey, l.l_orderkey, s.n as times from lineitem l join (select l_partkey, l_suppkey, count(*) as n from lineitem group by all) s on l.l_partkey = s.l_partkey and l.l_suppkey = s.l_suppkey")
 def join_composite_key(t):  # noqa: ANN001, ANN201
     times = agg.group_by(t("lineitem"), ["l_partkey", "l_suppkey"], [agg.row_count("times")])
-    return joins.inner_join(t("lineitem").where("l_linenumber = 1").select("l_partkey", "l_suppkey", "l_orderkey"), times, ["l_partkey", "l_suppkey"])
+    return joins.inner_join(t("lineitem").select("l_partkey", "l_suppkey", "l_orderkey"), times, ["l_partkey", "l_suppkey"])
 
 
 @query("select o_orderkey, o_custkey, c_nationkey from orders join customer on o_custkey = c_custkey")
@@ -396,10 +407,16 @@ def cumulative_max(t):  # noqa: ANN001, ANN201
     return _events(t).cumulative("max", "x", "r")
 
 
-@query("select p_partkey, one_or_two, round(product(one_or_two) over (order by p_partkey rows unbounded preceding)) as r from (select p_partkey, (p_size % 2 + 1)::double as one_or_two from part where p_partkey <= 40)")
+@query("select p_partkey, sign_, product(sign_) over (order by p_partkey rows unbounded preceding)::bigint as r from (select p_partkey, case when p_size % 3 = 0 then -1 else 1 end::bigint as sign_ from part)")
 def cumulative_product(t):  # noqa: ANN001, ANN201
-    df = t("part").where("p_partkey <= 40").select("p_partkey", (F.col("p_size") % 2 + 1).cast("double").alias("one_or_two"))
-    return _rounded(Frame(df, "p_partkey").cumulative("product", "one_or_two", "r").df, "r", digits=0)
+    df = t("part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, -1).otherwise(1).cast("long").alias("sign_"))
+    return Frame(df, "p_partkey").cumulative("product", "sign_", "r")
+
+
+@query("select p_partkey, f, product(f) over (partition by p_brand order by p_partkey rows unbounded preceding) as r from (select p_partkey, p_brand, case when p_size % 2 = 0 then 2.0 else 0.5 end::double as f from part)")
+def cumulative_product_partitioned(t):  # noqa: ANN001, ANN201
+    df = t("part").select("p_partkey", "p_brand", F.when(F.col("p_size") % 2 == 0, 2.0).otherwise(0.5).alias("f"))
+    return Frame(df, "p_partkey").cumulative("product", "f", "r", partition="p_brand").exclude("p_brand")
 
 
 @query(f"select *, case when x is not null then count(x) {_SO_FAR} end as r from {_EVENTS}")
@@ -459,13 +476,13 @@ def rank_null_key(t):  # noqa: ANN001, ANN201
 def sort_multi_null_order(t):  # noqa: ANN001, ANN201
     p = F.when(F.col("o_orderkey") % 3 != 0, F.round("o_totalprice"))
     made = Frame(t("orders").select("o_orderkey", "o_orderpriority", p.alias("p")), "o_orderkey").sort(rows.SortKey("o_orderpriority", False)).then_by(rows.SortKey("p", nulls_first=True))
-    w = windows.Window.orderBy(*(k.column(made.df) for k in made.sort_keys), "o_orderkey")
-    return made.df.withColumn("place", F.row_number().over(w).cast("long"))
+    return rows.numbered_as_sorted(made.df, "place").withColumn("place", F.col("place") + 1)
 
 
-@query("select p_partkey, p_size from part order by p_size % 7, p_partkey limit 50")
+@query("select p_partkey, p_size, (row_number() over (order by p_size % 7, p_partkey) - 1)::bigint as place from part")
 def sort_expression(t):  # noqa: ANN001, ANN201
-    return Frame(t("part").select("p_partkey", "p_size"), "p_partkey").sort(col("p_size") % 7).take(50)
+    made = Frame(t("part").select("p_partkey", "p_size"), "p_partkey").sort(col("p_size") % 7)
+    return rows.numbered_as_sorted(made.df, "place")
 
 
 @query("select o_orderkey, o_totalprice from orders order by o_orderkey limit 25")
@@ -500,7 +517,7 @@ def top_k(t):  # noqa: ANN001, ANN201
     return rows.top_k(t("orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 20, "o_orderkey")
 
 
-@query("select s_suppkey, (row_number() over (order by s_acctbal desc, s_suppkey) - 1)::integer as place from supplier")
+@query("select s_suppkey, (row_number() over (order by s_acctbal desc, s_suppkey) - 1)::bigint as place from supplier")
 def arg_sort(t):  # noqa: ANN001, ANN201
     return rows.arg_sort(t("supplier"), "s_acctbal", "s_suppkey", descending=True)
 
@@ -520,11 +537,10 @@ def concat_vertical_strict(t):  # noqa: ANN001, ANN201
     return Frame(a).concat(Frame(b))
 
 
-@query("select a.*, b.* from (select s_suppkey, s_name, row_number() over (order by s_suppkey) as i from supplier) x, lateral (select x.s_suppkey, x.s_name) a, lateral (select p_partkey, p_name from (select *, row_number() over (order by p_partkey) as i from part) p where p.i = x.i) b")
+@query("select c_custkey, c_name, p, q from (select c_custkey, c_name, row_number() over (order by c_custkey) as i from customer) join (select c_custkey as p, c_acctbal as q, row_number() over (order by c_acctbal, c_custkey) as i from customer) using (i)")
 def concat_horizontal(t):  # noqa: ANN001, ANN201
-    suppliers = t("supplier").select("s_suppkey", "s_name")
-    parts = t("part").select("p_partkey", "p_name").orderBy("p_partkey").limit(suppliers.count())
-    return rows.concat_columns([suppliers, parts], ["s_suppkey", "p_partkey"])
+    other = t("customer").select(F.col("c_custkey").alias("p"), F.col("c_acctbal").alias("q"))
+    return rows.concat_columns([t("customer").select("c_custkey", "c_name"), other], ["c_custkey", ["q", "p"]])
 
 
 _SERIES = "(select l_suppkey % 50 as label, round(sum(l_quantity), 2) as value from lineitem where l_returnflag = '{}' and l_suppkey % 50 > {} group by all)"
@@ -587,7 +603,7 @@ def activation_functions(t):  # noqa: ANN001, ANN201
 
 @query("select doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda w: w <> ''))::integer as n from documents")
 def tokenize_counts(t):  # noqa: ANN001, ANN201
-    return t("documents").select("doc_id", F.size(text.tokenize(F.col("text"))).alias("n"))
+    return t("documents").select("doc_id", text.word_count(F.col("text")).alias("n"))
 
 
 _WORDS = "(select w as token, count(*) as n from (select unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+')) as w from documents) where w <> '' group by w)"
@@ -598,9 +614,27 @@ def vocab_topn(t):  # noqa: ANN001, ANN201
     return text.vocabulary(t("documents"), "text", 1000)
 
 
-@query()
+_VOCAB = f"(select token, (row_number() over (order by n desc, token) + 3)::integer as id from (select * from {_WORDS} order by n desc, token limit 996))"
+_PLACED = "(select doc_id, unnest(w) as token, generate_subscripts(w, 1) as nth from (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{Nd}]+'), lambda w: w <> '') as w from documents))"
+
+
+@query(f"select d.doc_id, concat_ws(' ', '2', x.ids, '3') as ids from documents d left join (select doc_id, string_agg(coalesce(id, 1)::varchar, ' ' order by nth) as ids from {_PLACED} left join {_VOCAB} using (token) group by doc_id) x using (doc_id)")
 def encode_tokens(t):  # noqa: ANN001, ANN201
-    return text.encode(t("documents"), text.vocabulary(t("documents"), "text", 1000), "text", "doc_id")
+    ids = text.encode(t("documents"), text.vocabulary(t("documents"), "text", 1000), "text", "doc_id")
+    return ids.select("doc_id", F.array_join("ids", " ").alias("ids"))
+
+
+@query(f"select d.doc_id, coalesce(words, '') as words from documents d left join (select doc_id, string_agg(case when v.id is null then '<UNK>' else token end, ' ' order by nth) as words from {_PLACED} left join {_VOCAB} v using (token) group by doc_id) x using (doc_id)")
+def decode_tokens(t):  # noqa: ANN001, ANN201
+    vocab = text.vocabulary(t("documents"), "text", 1000)
+    return text.decode(text.encode(t("documents"), vocab, "text", "doc_id"), vocab, "ids", "words").select("doc_id", "words")
+
+
+@query(SQL["vocab_topn"])
+def vocab_saved(t):  # noqa: ANN001, ANN201
+    spark, path = t.spark, scratch_path(t.spark, "vocabulary")
+    text.save_vocabulary(text.vocabulary(t("documents"), "text", 1000), path)
+    return text.load_vocabulary(spark, path).select("token", "n", "id")
 
 
 # --- splits, streams and models -------------------------------------------------------------------
@@ -614,7 +648,7 @@ def event_time_window(t):  # noqa: ANN001, ANN201
     return made.select("event_type", F.col("window_start").alias("day"), "n", "total")
 
 
-@query()
+@query("select *, case when row_number() over (order by substr(md5('1:' || doc_id), 1, 15), doc_id) <= floor((select count(*) from labels) * 0.8::double) then 'train' else 'test' end as part from labels")
 def train_test_split(t):  # noqa: ANN001, ANN201
     train, test = rows.train_test_split(t("labels"), "doc_id", 0.8, 1)
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))

@@ -1,8 +1,10 @@
-"""Queries over streams: what works row by row runs as it stands; what needs all rows is refused by name."""
+"""Queries over streams: what works row by row or keeps a state by key runs as it stands; what needs all rows is refused by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import asyncio
+from collections.abc import AsyncIterator, Callable, Sequence
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillon.errors import StreamingError
 
-#: Operations that need every row before they give the first.
-NEEDS_ALL_ROWS = ("sort", "then_by", "group_by", "join", "distinct", "rolling", "cumulative", "shift", "lead", "row_number", "rank", "take", "skip", "slice", "select_rows", "reorder", "normalize", "combine")
+#: Operations that need every row before they give the first; groups and distinct rows are kept as state instead.
+NEEDS_ALL_ROWS = ("sort", "then_by", "join", "rolling", "cumulative", "shift", "lead", "row_number", "rank", "take", "skip", "slice", "select_rows", "reorder", "normalize", "combine")
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet", files_per_trigger: int = 16) -> DataFrame:
@@ -34,6 +36,36 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, format: str = "parqu
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
+def write_totals(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """For groups and distinct rows: after each batch the whole result so far stands in a folder of its own, path/batch=N."""
+    def keep(now: DataFrame, batch: int) -> None:
+        now.write.mode("overwrite").parquet(f"{path}/batch={batch}")  # a batch that is run again writes the same folder
+
+    return df.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+
+
+def latest_totals(spark: SparkSession, path: str) -> DataFrame:
+    """What write_totals wrote last."""
+    every = spark.read.parquet(path)
+    return every.where(F.col("batch") == every.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def progress(query: StreamingQuery) -> list[tuple[int, int]]:
+    """(batch, rows read) of the batches that Spark still remembers."""
+    return [(p["batchId"], p["numInputRows"]) for p in query.recentProgress]
+
+
+async def chunks(df: DataFrame, rows: int = 10_000) -> AsyncIterator[list]:
+    """Lists of rows without holding up the event loop; the next partition is fetched while one is used."""
+    rest = df.toLocalIterator(prefetchPartitions=True)
+
+    def some() -> list:
+        return list(islice(rest, rows))
+
+    while found := await asyncio.to_thread(some):
+        yield found
+
+
 def chunk_rows(budget_bytes: int, row_bytes: int = 100) -> int:
     """Rows of a batch that a memory budget allows, a tenth of it, from 1,000 to 100,000."""
     return max(1_000, min(100_000, budget_bytes // 10 // row_bytes))

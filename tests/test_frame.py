@@ -239,7 +239,7 @@ def test_text(spark):
     assert [(r.token, r.id) for r in vocab.orderBy("id").collect()][4:] == [("cat", 4), ("the", 5)]
     ids = {r.k: r.ids for r in text.encode(docs, vocab, "t", "k", 7).collect()}
     assert ids == {1: [2, 5, 4, 5, 4, 1, 3], 2: [2, 3, 0, 0, 0, 0, 0], 3: [2, 1, 3, 0, 0, 0, 0]}
-    back = text.encode(docs, vocab, "t", "k", 7).select("k", text.decode(columns.F.col("ids"), vocab).alias("t"))
+    back = text.decode(text.encode(docs, vocab, "t", "k", 7), vocab, "ids", "t").select("k", "t")
     assert {r.k: r.t for r in back.collect()} == {1: "the cat the cat <UNK>", 2: "", 3: "<UNK>"}
 
 

@@ -9,10 +9,11 @@ import duckdb
 import pytest
 
 from quillon.functions import text
+from quillon.plans import io_queries  # noqa: F401 - registers its queries
 from quillon.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -49,7 +50,7 @@ def test_encode_tokens_whole_texts(spark, duck):
     texts = dict(duck.sql("select doc_id, text from documents").fetchall())
     count = Counter(w for t in texts.values() for w in words(t))
     known = {w: i + 4 for i, w in enumerate(sorted(count, key=lambda w: (-count[w], w.encode()))[:996])}
-    got = {r.doc_id: r.ids for r in QUERIES["encode_tokens"](spark, SF).collect()}
+    got = {r.doc_id: [int(i) for i in r.ids.split()] for r in QUERIES["encode_tokens"](spark, SF).collect()}
     assert got == {d: [2, *(known.get(w, 1) for w in words(t)), 3] for d, t in texts.items()}
     assert max(map(len, got.values())) > 128
 
