@@ -238,14 +238,23 @@ class Frame:
         kinds = {field(self.df, n).dataType for n in names}
         if len(kinds) != 1 or not isinstance(next(iter(kinds)), T.NumericType):
             raise TypeMismatch("columns of one numeric type")
-        got = [[r[n] for n in names] for r in self.collect()]
-        known = np.array([[v is not None for v in r] for r in got]).reshape(len(got), len(names))
-        return np.array([[0 if v is None else v for v in r] for r in got]).reshape(len(got), len(names)), known
+        ordered = self.df if self.sort_keys or not self.order else self.df.orderBy(*(F.col(f"`{o}`").asc_nulls_last() for o in self.order))
+        table = ordered.select(*(F.col(f"`{field(self.df, n).name}`").alias(f"c{i}") for i, n in enumerate(names))).toArrow()
+        known = np.column_stack([c.is_valid().to_numpy() for c in table.columns])
+        decimals = isinstance(next(iter(kinds)), T.DecimalType)
+        values = [np.array([0 if v is None else v for v in c.to_pylist()], object) if decimals else c.fill_null(0).to_numpy() for c in table.columns]
+        return np.ascontiguousarray(np.column_stack(values)), known
 
     def batches(self, size: int, *names: str) -> list[np.ndarray]:
+        """Views of one tensor, size rows each."""
         tensor = self.to_tensor(*names)
         return [tensor[i : i + size] for i in range(0, len(tensor), size)]
 
+    @classmethod
+    def from_batches(cls, spark: SparkSession, batches: Sequence[np.ndarray], names: Sequence[str] | None = None) -> Frame:
+        """Tensors of one width below each other."""
+        return cls.from_matrix(spark, np.concatenate(list(batches)), names)
+
     def explain(self, mode: str = "formatted") -> str:
         from quillon.plans.explain import plan_text
 

@@ -155,7 +155,8 @@ def _arithmetic(op: str, left: Column, right: Column, kind: T.DataType) -> Colum
     if op == "/" and is_integral(kind):
         return F.call_function("div", left, right).cast(kind)  # towards zero; by zero is an error
     if isinstance(kind, (T.FloatType, T.DoubleType)) and op in "/%":  # IEEE: infinite, or not a number
-        by_zero = left * F.lit(float("inf")).cast(kind) if op == "/" else left * F.lit(float("nan")).cast(kind)
+        below = right.cast("string") == "-0.0"  # a zero's sign, which no comparison tells
+        by_zero = left * F.when(below, float("-inf")).otherwise(float("inf")).cast(kind) if op == "/" else left * F.lit(float("nan")).cast(kind)
         return F.when(right == 0, by_zero).otherwise(left / right if op == "/" else left % right).cast(kind)
     if op == "/":
         return (left / right).cast(kind)

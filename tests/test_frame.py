@@ -326,3 +326,30 @@ def test_arg_sort_and_skip(spark):
         got = sorted((r.place, r.k) for r in rows.arg_sort(f, "v", "k", descending).collect())
         assert got == [(n, k) for n, (k, _) in enumerate(want)]
     assert sorted(r.k for r in rows.skip(f, 35, "k").collect()) == [35, 36, 37, 38, 39]
+
+
+def test_negative_zero_divisor(spark):
+    f = Frame(spark.createDataFrame([(1.0, -0.0), (1.0, 0.0), (-1.0, -0.0)], "x double, y double")).select((col("x") / col("y")).alias("r"))
+    assert [r.r for r in f.df.collect()] == [-math.inf, math.inf, math.inf]
+
+
+def test_figures(spark):
+    from quillon.plans import explain
+
+    df = spark.range(100).withColumn("s", F.when(F.col("id") % 4 != 0, F.col("id").cast("string")))
+    figures = explain.operator_figures(df.where("id > 9").groupBy("s").count())
+    assert any(name.startswith("Filter") and f["numOutputRows"] == 90 for name, f in figures)
+    told = {r.name: r for r in explain.column_figures(df).collect()}
+    assert (told["s"].nulls, told["id"].nulls, told["id"].type) == (25, 0, "bigint") and 90 <= told["id"].distinct <= 110
+
+
+def test_tensors_and_batches(spark):
+    import decimal
+
+    f = Frame.create(spark, [(1.0, 2.0), (3.0, None)], "a double, b double")
+    values, known = f.to_nullable_tensor("a", "b")
+    assert values.tolist() == [[1.0, 2.0], [3.0, 0.0]] and known.tolist() == [[True, True], [True, False]] and values.flags["C_CONTIGUOUS"]
+    back = Frame.from_batches(spark, [np.ones((2, 2)), np.zeros((1, 2))], ["x", "y"])
+    assert [b.tolist() for b in back.batches(2, "x", "y")] == [[[1, 1], [1, 1]], [[0, 0]]]
+    d = Frame.create(spark, [(decimal.Decimal("1.50"),)], "d decimal(5,2)")
+    assert d.to_tensor("d").tolist() == [[decimal.Decimal("1.50")]]
