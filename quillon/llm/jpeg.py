@@ -422,7 +422,8 @@ def rgb(picture: Picture, samples: np.ndarray) -> np.ndarray:
         tall = c.blocks // c.wide
         plane = samples[c.at : c.at + c.blocks].reshape(tall, c.wide, 8, 8).transpose(0, 2, 1, 3).reshape(tall * 8, c.wide * 8)
         if (c.h, c.v) != (picture.hmax, picture.vmax):
-            plane = plane.repeat(picture.vmax // c.v, axis=0).repeat(picture.hmax // c.h, axis=1)
+            # the sample that covers each place; the ratio need not be whole
+            plane = plane[(np.arange(picture.height) * c.v // picture.vmax)[:, None], np.arange(picture.width) * c.h // picture.hmax]
         planes.append(plane[: picture.height, : picture.width])
     if len(planes) == 1:
         return np.stack(planes * 3, axis=-1)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import types
 import zlib
 
 import numpy as np
@@ -109,3 +110,32 @@ def test_tensors_nulls_and_empty(spark):
     assert rows[1].shape == [8, 8, 3] and len(rows[1].rgb) == 192 and rows[1].payload is None
     assert (rows[2].shape, rows[2].rgb, rows[2].feature) == (None, None, None)
     assert media_digests(docs.limit(0)).count() == 0
+
+
+def test_stored_tensors(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "ab" * 300), (2, None)], "doc_id long, text string")
+    rows = {r.id: r for r in media.store_tensors(store(docs), str(tmp_path / "t")).collect()}
+    assert rows[1].shape[2] == 3 and len(rows[1].rgb) == np.prod(rows[1].shape)
+    assert media.feature([np.frombuffer(rows[1].rgb, np.uint8).reshape(rows[1].shape)]) == rows[1].feature
+
+
+def test_chroma_of_a_fractional_ratio():
+    part = lambda h, v, wide, at: types.SimpleNamespace(h=h, v=v, wide=wide, blocks=wide, at=at)
+    p = types.SimpleNamespace(components=[part(3, 1, 3, 0), part(2, 1, 2, 3), part(2, 1, 2, 5)], hmax=3, vmax=1, height=8, width=24)
+    samples = np.full((7, 64), 128, np.uint8)
+    samples[3:5] = np.tile(np.arange(16, dtype=np.uint8).reshape(1, 2, 8).transpose(1, 0, 2), (1, 8, 1)).reshape(2, 64) + 100
+    got = jpeg.rgb(p, samples)
+    assert got.shape == (8, 24, 3)
+    cb = np.arange(24) * 2 // 3 + 100
+    assert (got[0, :, 2] == np.clip((((128 << 16) + (1 << 15) + 116130 * (cb.astype(np.int64) - 128)) >> 16), 0, 255)).all()
+
+
+def test_query(spark, tmp_path):
+    texts = ["", None, "a text", "x" * 500]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("media", F.lit("m")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in media.op3_progressive_jpeg(spark, str(tmp_path)).collect()}
+    stored = {r.id: r.media for r in store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        want = padded((t or "").encode())
+        assert (got[i].n_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len((t or "").encode()), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(stored[i]), hashlib.sha256(stored[i]).hexdigest())
