@@ -3,8 +3,9 @@ from __future__ import annotations
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
-from quillon.llm.simhash import fingerprint, simhash_components
+from quillon.llm.simhash import fingerprint, near_links, op10_simhash, simhash_components
 
 
 def brute_fingerprint(text):
@@ -74,3 +75,35 @@ def test_empty_and_null_ids(spark):
 def test_fingerprint_is_over_half():
     assert fingerprint(b"A b") == brute_fingerprint("a b")
     assert fingerprint(b"\xc3\x84a b c d") == brute_fingerprint("Äa b c d")
+
+
+def test_query(spark, tmp_path):
+    rows = corpus(120)
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("fingerprint", F.lit("x")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, int(r.fingerprint, 16), r.component_id, len(r.fingerprint)) for r in op10_simhash(spark, str(tmp_path)).collect())
+    assert got == [(*b, 16) for b in brute(rows)]
+
+
+def test_finer_keys_lose_no_link(spark, monkeypatch):
+    from quillon.llm import tiles
+
+    monkeypatch.setattr(tiles, "GROUP_ROWS", 4)
+    rng = random.Random(8)
+    base = rng.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in rng.sample(range(24), rng.randint(0, 4))) for _ in range(200)}
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = near_links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+
+    def groups(pairs):
+        root = {f: f for f in signed}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        return sorted(sorted(f for f in signed if find(f) == r) for r in {find(f) for f in signed})
+
+    assert groups(map(tuple, links)) == groups((a, b) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) % (1 << 64)).bit_count() <= 3)

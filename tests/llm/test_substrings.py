@@ -1,13 +1,15 @@
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import substrings
-from quillon.llm.substrings import repeated_spans
+from quillon.llm.substrings import op8_suffix_array, repeated_spans
 from quillon.llm.suffixes import COVER, PERIOD, repeated_starts, sorted_suffixes
 
 
@@ -78,3 +80,22 @@ def test_default_length_and_empty(spark):
     got = sorted((str(r.id), r.n_bytes, [tuple(x) for x in r.spans], bytes(r.kept)) for r in repeated_spans(docs).collect())
     assert got == brute(rows, 200)
     assert repeated_spans(docs.limit(0)).count() == 0
+
+
+def test_query(spark, tmp_path):
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdefgh \né", k=1500))
+    rows = [(1, long), (2, long[300:700] + "!" + long[100:320]), (3, None), (4, "short"), (5, long), (6, "z" * 450)]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op8_suffix_array(spark, str(tmp_path)).collect())
+    assert got == [(d, n, sum(z - a for a, z in spans), len(spans), hashlib.sha256(kept).hexdigest()) for d, n, spans, kept in brute(rows, 200)]
+
+
+def test_repeats_that_only_the_sort_finds(spark):
+    """Runs of one bucket that differ as wholes and share windows: no two are alike, so counts of runs say nothing."""
+    rng = random.Random(4)
+    shared = "".join(rng.choices("abcdefgh", k=60))
+    rows = [(d, "".join(rng.choices("ijklmnop", k=30)) + shared + "".join(rng.choices("qrstuvwx", k=30))) for d in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.id), r.n_bytes, [tuple(x) for x in r.spans], bytes(r.kept)) for r in repeated_spans(docs, length=40, gram=12, many=10**9).collect())
+    assert got == brute(rows, 40) and all(x[2] for x in got)
