@@ -60,7 +60,7 @@ def _fingerprints(df: DataFrame, length: int, gram: int, to: str) -> DataFrame:
 
 def item_fingerprints(items: DataFrame, length: int, gram: int, item_col: str, text_col: str) -> DataFrame:
     """(item, length, i_at, fp, i_low, i_near); items without words have none."""
-    hashed = items.select(F.col(item_col).alias("item"), word_hashes(F.col(text_col)).alias("h")).where(F.size("h") > 0)
+    hashed = materialize(items.select(F.col(item_col).alias("item"), word_hashes(F.col(text_col)).alias("h")).where(F.size("h") > 0), "benchmark-words")
     parts = []
     for n in range(1, length + 1):
         own = hashed.where(F.size("h") == n) if n < length else hashed.where(F.size("h") >= n)
@@ -79,6 +79,26 @@ def _equal_words(step: int, reach: int, length: Column, gram: int) -> Column:
     return F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.lit(reach + 1)), differs)) - 1, F.lit(reach))
 
 
+def _meeting(df: DataFrame, texts: DataFrame, bench: DataFrame, lengths: list[int], gram: int) -> DataFrame:
+    """texts with a column f of the fingerprints that stand in the benchmark too, for one that is too large to broadcast.
+
+    Fingerprints meet the benchmark's without the words around them; those come from the text's own hashes afterwards.
+    """
+    every = F.concat(*(F.col(f"f{n}") for n in lengths))
+    light = df.select("id", "text_hash", F.explode_outer(every).alias("f")).select("id", "text_hash", "f.length", "f.at", "f.fp")
+    there = materialize(bench.select("length", "fp").distinct(), "benchmark-keys")
+    kept = light.join(there, ["length", "fp"], "left_semi").groupBy("id", "text_hash").agg(F.collect_set(F.struct("length", "at", "fp")).alias("kept"))  # at most a text's
+    kept = materialize(kept.select(F.col("id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "kept"), "met-fingerprints")
+    met = texts.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left")
+
+    def entry(x: Column) -> Column:
+        reach = x["length"] - F.least(F.lit(gram), x["length"])
+        low = F.greatest(x["at"] - reach, F.lit(0))
+        return F.struct(x["length"].alias("length"), x["at"].alias("at"), x["fp"].alias("fp"), low.alias("low"), F.slice("h", low + 1, x["length"] + reach).alias("near"))
+
+    return met.select("id", "text_hash", "h", F.transform("kept", entry).alias("f"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, items) for every row of docs; items are the ids of items with occurring windows, as sorted strings.
 
@@ -90,11 +110,16 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH, gram:
     lengths = sorted(r.length for r in bench.select("length").distinct().collect())  # length of them at most
     small = bench.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-    df = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), word_hashes(F.col(text_col)).alias("h"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), word_hashes(F.col(text_col)).alias("h"))
+    df = texts
     for n in lengths:
         df = _fingerprints(df, n, gram, f"f{n}")
     kind = "struct<length:int,at:int,fp:bigint,low:int,near:array<bigint>>"
-    found = F.concat(F.array(F.lit(None).cast(kind)), *(F.col(f"f{n}") for n in lengths))  # the null stands for the row itself
+    none = F.array(F.lit(None).cast(kind))  # the null stands for the row itself
+    found = F.concat(none, *(F.col(f"f{n}") for n in lengths))
+    if not small:
+        df = _meeting(df, texts, bench, lengths, gram)
+        found = F.concat(none, F.coalesce("f", F.expr(f"cast(array() as array<{kind}>)")))
     rows = df.select("id", "text_hash", F.size("h").alias("n_words"), F.explode_outer(found).alias("f")).select("id", "text_hash", "n_words", "f.*")
     met = rows.join(F.broadcast(bench) if small else bench, ["length", "fp"], "left")
 
