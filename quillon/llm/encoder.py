@@ -30,9 +30,9 @@ _UNSAFE = re.compile("[^\t\n\r -~¡-ɏ]").search
 #: A piece of such text that neither begins nor ends with white space.
 _PLAIN = re.compile("[!-~¡-ɏ](?:[\t\n\r!-~¡-ɏ]*[!-~¡-ɏ])?").fullmatch
 #: Pieces and words that a worker remembers at most, and the longest of them.
-PIECES, WORDS, LONGEST = 300_000, 400_000, 48
+PIECES, WORDS, LONGEST = 450_000, 600_000, 48
 #: Bytes of texts, pieces of texts and new pieces that are worked on at once.
-STRETCH, PLACED, LEARNT = 4 << 20, 1 << 19, 1 << 13
+STRETCH, PLACED, LEARNT = 8 << 20, 1 << 19, 1 << 13
 
 
 def byte_letters() -> dict[int, str]:
