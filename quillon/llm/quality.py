@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import table
+from quillon.llm.common import table, tidy
 
 #: Positives and unlabelled texts that a model is fitted on at most, of each.
 SAMPLE = 12_000
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
             x = [features(t).tolist() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["kind", "x"])
 
-    rows = once.select("kind", "text").mapInArrow(run, "kind int, x array<double>").toPandas()
+    rows = once.select("kind", "text").mapInArrow(tidy(run), "kind int, x array<double>").toPandas()
     x = {k: np.array(sorted(rows.x[rows.kind == k].map(tuple))) for k in (0, 1)}
     if not len(x[0]) or not len(x[1]):
         return None
@@ -180,7 +180,7 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", to: str
             s = model.score(np.array([features(t) for t in texts]).reshape(len(texts), -1)) if model and texts else np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, to])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import drop_scratch, materialize, scratch_path, table
+from quillon.llm.common import drop_scratch, materialize, scratch_path, table, tidy
 from quillon.llm.encoder import Encoder, encoder, tokenizer_version
 
 LANES, BLOCK, CHECK, SHARD = 32, 1 << 15, 1 << 13, 1 << 22
@@ -184,7 +184,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_
             yield made(*held, np.stack([used, total[used]]).astype("<i8").tobytes())
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType()), T.StructField("seen", T.BinaryType())])
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), schema)
     return materialize(out.select("id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "ids", "seen").sortWithinPartitions("id", "row"), "tokens")
 
 
@@ -257,7 +257,7 @@ def write_shards(tokens: DataFrame, model: Model, width: int, path: str) -> None
             yield shard(of)
 
     schema = T.StructType([T.StructField("run", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
-    tokens.select("id", "row", "ids").mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(path)
+    tokens.select("id", "row", "ids").mapInArrow(tidy(run), schema).write.option("compression", "uncompressed").parquet(path)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def read_shards(shards: DataFrame, model: Model) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*same, docs[lo:hi], pa.array(at[lo:hi]), pa.array(lengths[lo:hi]), pa.array(texts, pa.binary())], ["run", "seq", "id", "offset", "n_tokens", "ids"])
 
     schema = T.StructType([T.StructField("run", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("id", kind), T.StructField("offset", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return shards.select("run", "seq", "doc_ids", "lengths", "data").mapInArrow(run, schema)
+    return shards.select("run", "seq", "doc_ids", "lengths", "data").mapInArrow(tidy(run), schema)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import materialize, release_shuffles
+from quillon.llm.common import materialize, release_shuffles, tidy
 from quillon.llm.components import connected_components, labels
 from quillon.llm.tiles import dealt, majority, near_pairs
 
@@ -74,7 +74,7 @@ def _nodes(docs: DataFrame, shingle: int, kind: T.DataType) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), keys], ["id", "text_hash", "node", "n", "fp", "keys"])
 
     to = [("id", kind), ("text_hash", T.LongType()), ("node", T.LongType()), ("n", T.LongType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
-    return docs.mapInArrow(run, T.StructType([T.StructField(*c) for c in to]))
+    return docs.mapInArrow(tidy(run), T.StructType([T.StructField(*c) for c in to]))
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -84,7 +84,7 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
             sets = [np.sort(shingle_hashes(t, shingle).view(np.int64)) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "hashes"])
 
-    return texts.mapInArrow(run, "node long, hashes array<long>")
+    return texts.mapInArrow(tidy(run), "node long, hashes array<long>")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -148,7 +148,7 @@ def tile_links(placed: DataFrame, sets: DataFrame, similarity: float, radius: in
                 yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
     groups = materialize(dealt(placed.withColumn("routing", F.col("key")), radius, GROUP_ROWS), "dealt-members")
-    return groups.join(sets, "node").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    return groups.join(sets, "node").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:

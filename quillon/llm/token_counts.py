@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize, shared_root, table
+from quillon.llm.common import materialize, shared_root, table, tidy
 from quillon.llm.encoder import encoder, tokenizer_version
 
 CACHE = "digest binary, n_tokens long"
@@ -57,7 +57,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encoder(tokenizer).batch(b.column(1), ids=False)[0])], ["digest", "n_tokens"])
 
-    misses.select("digest", "text").mapInArrow(run, CACHE).write.parquet(f"{cache}/version={tokenizer_version(tokenizer)}/job={uuid.uuid4().hex}")
+    misses.select("digest", "text").mapInArrow(tidy(run), CACHE).write.parquet(f"{cache}/version={tokenizer_version(tokenizer)}/job={uuid.uuid4().hex}")
     counts = materialize(cached_counts(spark, cache, tokenizer), "counts")  # written, so that Spark can split a frequent text's rows in the join
     return keyed.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(counts, "digest", "left").select("id", "n_bytes", "n_tokens")
 

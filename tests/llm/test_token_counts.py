@@ -1,15 +1,20 @@
 from __future__ import annotations
 
+import gc
+import random
+import tracemalloc
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillon.llm.common import scratch_path
-from quillon.llm.encoder import Encoder, encoder
+from quillon.llm.common import scratch_path, tidy
+from quillon.llm.encoder import Encoder, Memory, encoder
 from quillon.llm.token_counts import cached_counts, count_tokens, op1_token_counts
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,3 +85,62 @@ def test_jobs_that_append_at_once(spark):
         got = list(pool.map(lambda _: sorted(count_tokens(docs, BPE, cache).collect()), range(3)))
     assert got[0] == got[1] == got[2] and len(got[0]) == 200
     assert cached_counts(spark, cache, BPE).count() == 50
+
+
+def test_a_worker_s_memory_is_small():
+    rng = random.Random(1)
+    words = list(dict.fromkeys("".join(rng.choices("abcdefghijklmnop", k=rng.randint(5, 12))) for _ in range(60_000)))
+    ours = Encoder(BPE)
+    ours.count("begin")
+    gc.collect()
+    tracemalloc.start()
+    try:
+        arrow = pa.total_allocated_bytes()
+        ours.count(" ".join(words))
+        gc.collect()
+        held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert held < 120 * len(words)  # as a piece and as a word; in dictionaries of strings it was 207
+
+
+def test_a_full_memory_forgets_what_is_not_asked_for():
+    memory, learnt = Memory(4, np.dtype("<u2")), []
+
+    def learn(keys):
+        learnt.append(keys.to_pylist())
+        size = np.array([len(k) for k in keys.to_pylist()])
+        return size, np.frombuffer("".join(keys.to_pylist()).encode(), np.uint8).astype("<u2"), np.ones(len(keys), bool)
+
+    def look(*keys):
+        size, start, flat = memory.look(pa.array(keys, pa.string()), learn)
+        assert ["".join(map(chr, flat[a : a + n])) for a, n in zip(start, size, strict=True)] == list(keys)
+        return learnt.pop() if learnt else []
+
+    assert look("a", "bb", "ccc") == ["a", "bb", "ccc"]
+    assert look("bb") == []
+    assert look("dd", "bb", "e") == ["dd", "e"]  # five: a and ccc go
+    assert look("dd", "e", "bb") == []
+    assert look("ccc", "f", "g") == ["ccc", "f", "g"]  # only one finds room
+    assert look("bb", "ccc") == []
+    assert look("x" * 100) == look("x" * 100) == ["x" * 100]
+
+
+def test_ids_when_memory_is_full(monkeypatch):
+    monkeypatch.setattr("quillon.llm.encoder.PIECES", 50)
+    monkeypatch.setattr("quillon.llm.encoder.WORDS", 30)
+    monkeypatch.setattr("quillon.llm.encoder.LEARNT", 7)
+    monkeypatch.setattr("quillon.llm.encoder.PLACED", 5)
+    monkeypatch.setattr("quillon.llm.encoder.SPELLED", 3)
+    rng, ours, library = random.Random(2), Encoder(BPE), Tokenizer.from_file(BPE)
+    for _ in range(20):
+        texts = [" ".join(rng.choices([*ODD[:24], "word", "other\nword", "it's", "é\tè", *map(str, range(60))], k=rng.randint(0, 30))) for _ in range(6)]
+        lengths, ids = ours.batch(pa.array([*texts, None]))
+        expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert lengths.tolist() == [*map(len, expected), 0]
+        assert ids.tolist() == [i for e in expected for i in e]
+
+
+def test_tidy_passes_batches_on():
+    batches = [pa.RecordBatch.from_pydict({"a": [i]}) for i in range(3)]
+    assert list(tidy(lambda some: (b.slice(0) for b in some))(iter(batches))) == batches
