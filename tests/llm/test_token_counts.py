@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import gc
+import json
 import random
 import tracemalloc
 from concurrent.futures import ThreadPoolExecutor
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillon.llm.common import scratch_path, tidy
-from quillon.llm.encoder import Encoder, Memory, encoder
+from quillon.llm.encoder import Encoder, Memory, byte_letters, encoder
 from quillon.llm.token_counts import cached_counts, count_tokens, op1_token_counts
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -144,3 +145,44 @@ def test_ids_when_memory_is_full(monkeypatch):
 def test_tidy_passes_batches_on():
     batches = [pa.RecordBatch.from_pydict({"a": [i]}) for i in range(3)]
     assert list(tidy(lambda some: (b.slice(0) for b in some))(iter(batches))) == batches
+
+
+class Counted:
+    """A tokenizer that counts what it is asked."""
+
+    def __init__(self, of):
+        self.of, self.calls = of, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.calls += 1
+        return self.of.encode_batch_fast(texts, **how)
+
+
+def test_first_words_reach_the_library_together():
+    ours, library = Encoder(BPE), Tokenizer.from_file(BPE)
+    ours.speller = Counted(ours.speller)
+    texts = [f"qv{chr(97 + i % 26)}xz{chr(97 + i // 26)}kw" for i in range(320)]
+    assert ours.batch(pa.array(texts))[1].tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+    assert ours.speller.calls <= 20  # 32 words a call, with and without a space before them; 321 calls when each text had its own
+    ours.count(" ".join(f"word{i}x" for i in range(40_000)))
+    calls = ours.speller.calls
+    assert ours.batch(pa.array(texts[:3]))[1].tolist() == [i for t in texts[:3] for i in library.encode(t, add_special_tokens=False).ids]
+    assert ours.speller.calls <= calls + 2
+
+
+def test_words_are_split_only_where_a_merge_could_cross(tmp_path):
+    assert Encoder(BPE).speller.pre_tokenizer is None
+    letters = byte_letters()
+    vocab = {c: i for i, c in enumerate(letters.values())}
+    nul, space = letters[0], letters[32]
+    for a, b in (("a", "b"), (nul, space), ("b", nul), (space, "a")):
+        vocab[a + b] = len(vocab)
+    said = {"version": "1.0", "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "post_processor": None, "decoder": None}
+    said["model"] = {"type": "BPE", "vocab": vocab, "merges": [f"{nul} {space}", f"b {nul}", "a b", f"{space} a"]}
+    path = str(tmp_path / "crossing.json")
+    (tmp_path / "crossing.json").write_text(json.dumps(said))
+    ours, library = Encoder(path), Tokenizer.from_file(path)
+    assert ours.simple
+    assert ours.speller.pre_tokenizer is not None
+    for text in ["ab b a ab", "b ab", "b b b a b", "ab\0 a b", *ODD]:
+        assert ours.ids(text) == ours._pack(library.encode(text, add_special_tokens=False).ids), text
