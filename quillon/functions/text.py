@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillon.errors import SourceError
 
@@ -36,31 +34,40 @@ def vocabulary(docs: DataFrame, text_col: str, max_size: int = 10_000, min_count
     words = docs.select(F.explode(tokenize(F.col(text_col))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
     top = words.orderBy(F.col("n").desc(), "token").limit(max(0, max_size - len(SPECIAL)))  # bounded, so that one task may number them
     ranked = top.withColumn("id", F.row_number().over(Window.orderBy(F.col("n").desc(), "token")) + len(SPECIAL) - 1)
-    special = docs.sparkSession.createDataFrame([(s, 0, i) for i, s in enumerate(SPECIAL)], "token string, n long, id int")
+    first = {"token": SPECIAL, "n": pa.array([0] * len(SPECIAL), pa.int64()), "id": pa.array(range(len(SPECIAL)), pa.int32())}
+    special = docs.sparkSession.createDataFrame(pa.table(first))  # in Arrow: tuples would start Python in the tasks
     return special.unionByName(ranked.select("token", "n", "id"))
 
 
+def _buckets(spark: SparkSession, known: pa.Table) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """One row with an array of maps from words to ids, some one word each, and a word's place in the array.
+
+    As a scalar subquery, the row goes out once with the tasks' code; a joined one would be copied for every text.
+    """
+    n = max(1, known.num_rows)
+
+    def slot(word: Column) -> Column:
+        return F.pmod(F.xxhash64(word), F.lit(n)).cast("int")
+
+    placed = spark.createDataFrame(known).withColumn("at", slot(F.col("token"))).toArrow().sort_by("at")
+    offsets = pa.array(np.searchsorted(placed.column("at").to_numpy(), np.arange(n + 1)).astype(np.int32))
+    maps = pa.MapArray.from_arrays(offsets, *(placed.column(c).combine_chunks() for c in ("token", "id")))
+    return spark.createDataFrame(pa.table({"buckets": pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), maps)})), slot
+
+
 def encode(docs: DataFrame, vocab: DataFrame, text_col: str, key_col: str, length: int | None = None, add_ends: bool = True, to: str = "ids") -> DataFrame:
     """(key, ids): ids of the words, UNK for those without, BOS and EOS around, cut or padded to length. Keys are unique.
 
-    A vocabulary of HELD words at most goes to the tasks, which look words up in Arrow where the texts lie; a larger one
-    meets the words in a join, so neither has to fit in memory. A null text has no words.
+    A vocabulary of HELD words at most goes to the tasks, which look words up where the texts lie, in the JVM; a larger
+    one meets the words in a join, so neither has to fit in memory. A null text has no words. Of a word with several ids
+    the least counts.
     """
-    known = vocab.where(F.col("id") >= len(SPECIAL)).select("token", "id")
+    known = vocab.where((F.col("id") >= len(SPECIAL)) & F.col("token").isNotNull()).groupBy("token").agg(F.min("id").cast("int").alias("id"))
     held = known.limit(HELD + 1).toArrow()
     if held.num_rows <= HELD:
-        words, numbers = held.column("token").combine_chunks(), np.append(held.column("id").to_numpy(), UNK).astype(np.int32)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                lists = b.column(1)
-                at = pc.fill_null(pc.index_in(lists.flatten(), words), len(words)).to_numpy()
-                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-                offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(numbers[at]))], [key_col, "__ids"])
-
-        schema = T.StructType([docs.schema[key_col], T.StructField("__ids", T.ArrayType(T.IntegerType()))])
-        rows, ids = docs.select(key_col, tokenize(F.col(text_col))).mapInArrow(run, schema), F.col("__ids")
+        buckets, slot = _buckets(docs.sparkSession, held)
+        rows = docs.select(key_col, F.coalesce(tokenize(F.col(text_col)), F.array().cast("array<string>")).alias("__said"), buckets.scalar().alias("__buckets"))
+        ids = F.transform("__said", lambda w: F.coalesce(F.try_element_at(F.get("__buckets", slot(w)), w), F.lit(UNK)))
     else:
         found = docs.select(F.col(key_col), F.posexplode_outer(tokenize(F.col(text_col))).alias("at", "token")).join(known, "token", "left")
         pair = F.struct("at", F.coalesce("id", F.lit(UNK)).alias("id"))

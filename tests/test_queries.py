@@ -59,3 +59,21 @@ def test_encode_cuts_and_pads(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b")], "k long, t string")
     ids = {r.k: r.ids for r in text.encode(docs, text.vocabulary(docs, "t", 6), "t", "k", 4).collect()}
     assert ids == {1: [2, 4, 5, 4], 2: [2, 5, 3, 0]}
+
+
+@pytest.mark.parametrize("name", ["vocab_topn", "encode_tokens", "decode_tokens"])
+def test_words_meet_ids_without_python(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Arrow", "Python", "Pandas", "ExistingRDD"))
+
+
+@pytest.mark.parametrize("held", [text.HELD, 100])
+def test_encode_looks_up_every_word(spark, monkeypatch, held):
+    monkeypatch.setattr(text, "HELD", held)
+    ids = {f"{'wé東'[i % 3]}{i}": i + 4 for i in range(3000)}
+    vocab = spark.createDataFrame([*ids.items(), ("w0", 9000), (None, 9001), ("<UNK>", 1)], "token string, id long")
+    said = [[f"{'wé東'[i % 3]}{i}" for i in range(k, 4000, 7)] for k in range(7)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(said)] + [(7, None), (8, ""), (9, "w0 w0")], "k long, t string")
+    encoded = text.encode(docs, vocab, "t", "k", add_ends=False)
+    assert dict(encoded.dtypes) == {"k": "bigint", "ids": "array<int>"}
+    assert {r.k: r.ids for r in encoded.collect()} == {k: [ids.get(w, 1) for w in x] for k, x in enumerate([*said, [], [], ["w0", "w0"]])}
